@@ -1,11 +1,13 @@
 """The queries opN_<name> of this subpackage and the DuckDB SQL of those that have any."""
 
-from corvine.llm import url_reputation
+from corvine.llm import decontaminate, url_reputation
 
 QUERIES = {
     "op1_url_reputation": url_reputation.query,
+    "op3_decontaminate": decontaminate.query,
 }
 
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.SQL,
+    "op3_decontaminate": decontaminate.SQL,
 }
