@@ -1,13 +1,15 @@
 """The queries opN_<name> of this subpackage and the DuckDB SQL of those that have any."""
 
-from corvine.llm import decontaminate, url_reputation
+from corvine.llm import decontaminate, quality_rules, url_reputation
 
 QUERIES = {
     "op1_url_reputation": url_reputation.query,
     "op3_decontaminate": decontaminate.query,
+    "op5_quality_rules": quality_rules.query,
 }
 
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.SQL,
     "op3_decontaminate": decontaminate.SQL,
+    "op5_quality_rules": quality_rules.SQL,
 }
