@@ -1,9 +1,10 @@
 """The queries opN_<name> of this subpackage and the DuckDB SQL of those that have any."""
 
-from corvine.llm import chunk_dedup, decontaminate, language_id, mixing, quality_rules, secret_scan, url_reputation
+from corvine.llm import chunk_dedup, decontaminate, language_id, mixing, near_dup, quality_rules, secret_scan, url_reputation
 
 QUERIES = {
     "op1_url_reputation": url_reputation.query,
+    "op2_near_dup": near_dup.query,
     "op3_decontaminate": decontaminate.query,
     "op4_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.SQL,
+    "op2_near_dup": near_dup.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op5_quality_rules": quality_rules.SQL,
 }
