@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -98,7 +99,7 @@ _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, SLICE + (1 << 16))
@@ -119,16 +120,16 @@ class Words:
 
     def __init__(self, texts: list[bytes], ends_word: np.ndarray, fold: np.ndarray | None = LOWER):
         joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        self.data = data = fold[joined] if fold is not None else joined
-        inside = ~ends_word[data]
+        self.data = data = fold.take(joined) if fold is not None else joined
+        inside = ~ends_word.take(data)
         change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
             change = np.concatenate(([0], change))
         self.starts, self.ends = starts, ends = change[0::2], change[1::2]
-        power, inverse = _power_tables(len(data) + 1)
+        power, inverse = power_tables(len(data) + 1)
         total = np.empty(len(data) + 1, np.uint64)
         total[0] = 0
-        np.cumsum(_VALUES[data] * power[: len(data)], out=total[1:])
+        np.cumsum(_VALUES.take(data) * power[: len(data)], out=total[1:])
         self.hashes = mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -148,3 +149,9 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         out *= np.uint64(0xD6E8FEB86659FD93)
         out += hashes[k : k + n]
     return mixed(out)
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -1,6 +1,6 @@
 """The queries opN_<name> of this subpackage and the DuckDB SQL of those that have any."""
 
-from corvine.llm import chunk_dedup, decontaminate, language_id, mixing, near_dup, quality_rules, secret_scan, url_reputation
+from corvine.llm import chunk_dedup, decontaminate, language_id, mixing, near_dup, quality_rules, repeats, secret_scan, url_reputation
 
 QUERIES = {
     "op1_url_reputation": url_reputation.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_chunk_dedup": chunk_dedup.query,
     "op8_language_id": language_id.query,
     "op9_secret_scan": secret_scan.query,
+    "op10_repeats": repeats.query,
 }
 
 ORACLE_SQL = {
