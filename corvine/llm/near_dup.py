@@ -6,11 +6,12 @@ A document's set is its distinct word shingles. Documents with equal sets are on
 1. Every class gets ``COORDINATES`` minwise tokens. ``TREES`` independent trees start with
    ``ROOTS`` selected coordinates each; a class goes to one node for each, named by the
    minwise token it has there.
-2. A node with more than ``LEAF`` classes branches: its name selects two more coordinates,
+2. A node with more than ``SMALL`` classes branches: its name selects two more coordinates,
    and each class goes to the child named by its token at each. Nodes with one class end.
-   A child that kept most of its parent is *dense*, since branching would not take it
-   apart: it is compared exhaustively, in pairs of blocks.
-3. Leaves are compared exhaustively by their minwise tokens. Classes with enough equal
+   A child that kept most of its parent is *dense*: branching would not take it apart, so
+   it is treated as small.
+3. Small nodes are compared exhaustively by their minwise tokens, those with more than
+   ``LEAF`` classes in pairs of blocks. Classes with enough equal
    tokens form clusters; a cluster found in several leaves is taken once.
 4. Within clusters every pair is decided on the full sets, and links that join two
    parts are kept. Connected components of these links give the result.
@@ -20,8 +21,8 @@ a branching with 1 - 0.25**2; over 16 roots and six levels, 6e-6 of such pairs a
 and far fewer of more similar ones. 72 of 128 equal tokens are asked for at leaves, five
 standard deviations below what such a pair has.
 
-Counting precedes every regrouping, groups that reach one task have at most 2 * LEAF
-classes, and tables are written to the shared folder between steps, so lost executors
+Counting precedes every regrouping, groups that reach one task have about 2 * BLOCK
+classes at most, and tables are written to the shared folder between steps, so lost executors
 cost no more than the current step.
 
 Defined results: null or empty texts, and those without words, have an empty set, are
@@ -48,7 +49,8 @@ SHINGLE = 5
 #: Links have 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 TREES, ROOTS, COORDINATES = 8, 2, 128
-LEAF = 96
+#: Classes of a node above which it branches; above which it is cut into blocks; and of a block.
+SMALL, LEAF, BLOCK = 4096, 512, 384
 #: A child with more than this share of its parent is dense.
 DENSE = 0.7
 DEEPEST = 40
@@ -230,33 +232,39 @@ def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def verified(found: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Links (a, b) between digests, from the clusters ``found`` and the full sets of their documents."""
-    wanted = found.select("digest").distinct().join(classes.select("digest", F.col("rep").alias("__rep")), "digest").select("__rep").distinct()
-    texts = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi").select("text")
+    """Links (a, b) between digests, from the clusters ``found`` and the full sets of their documents.
 
-    def sets_of(batches):
+    Texts travel compressed, a third of their sets' size, and become sets again where a cluster is decided.
+    """
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def squeeze(batches):
         for batch in batches:
-            digests, sets = [], []
-            for _, part in slices(raw_texts(batch.column("text"))):
-                for s in shingle_sets(part):
-                    if len(s):
-                        digests.append(xxhash.xxh3_128_digest(s)), sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["digest", "members"])
+            texts = raw_texts(batch.column("text"))
+            data = [pa.compress(t, codec="zstd", asbytes=True) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(data, pa.binary())], ["doc_id", "size", "data"])
 
-    sets = texts.mapInArrow(sets_of, "digest binary, members binary")
+    texts = documents.select("doc_id", "text").mapInArrow(squeeze, f"doc_id {kind}, size long, data binary")
+    wanted = found.join(classes.select("digest", "rep"), "digest")
 
     def decide(batches):
         for whole, at in groups(batches, "cluster"):
-            digests, raw = whole.column("digest").to_pylist(), whole.column("members")
+            digests, sizes, data = (whole.column(c) for c in ("digest", "size", "data"))
             left, right = [], []
             for a, b in zip(at.tolist(), at[1:].tolist()):
-                ids = {digests[i]: i for i in range(a, b)}  # repeated rows of a document count once
-                order = sorted(ids)
-                for i, j in links_within([np.frombuffer(raw[ids[d]].as_py(), np.uint64) for d in order]) if len(order) > 1 else ():
+                raw = [pa.decompress(data[i].as_py(), sizes[i].as_py(), codec="zstd", asbytes=True) if sizes[i].as_py() else b"" for i in range(a, b)]
+                members: dict[bytes, np.ndarray] = {}
+                for first, part in slices(raw):
+                    for i, s in enumerate(shingle_sets(part), a + first):
+                        # Another text of the same doc_id is not meant; a repeated row counts once.
+                        if len(s) and (d := digests[i].as_py()) not in members and xxhash.xxh3_128_digest(s) == d:
+                            members[d] = s
+                order = sorted(members)
+                for i, j in links_within([members[d] for d in order]) if len(order) > 1 else ():
                     left.append(order[i]), right.append(order[j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    dealt = found.join(sets, "digest").select("cluster", "digest", "members").repartition("cluster").sortWithinPartitions("cluster")
+    dealt = wanted.join(texts, wanted["rep"].eqNullSafe(texts["doc_id"])).select("cluster", "digest", "size", "data").repartition("cluster").sortWithinPartitions("cluster")
     return dealt.mapInArrow(decide, "a binary, b binary").distinct()
 
 
@@ -299,17 +307,17 @@ def leaves_of(classes: DataFrame, folder: str) -> DataFrame:
         live = rows.join(sizes, "node")
         if depth == 0:
             live = live.join(tokens, "digest")
-        dense = (F.col("size") > LEAF) & ((F.col("size") > DENSE * F.col("above")) | F.lit(depth == DEEPEST))
-        live = written(live.select("node", "digest", "n", "tokens", "size", F.coalesce(dense, F.lit(False)).alias("dense")), folder, f"level{depth}")
+        whole = (F.col("size") <= SMALL) | (F.col("size") > DENSE * F.coalesce("above", F.col("size") * 2)) | F.lit(depth == DEEPEST)
+        live = written(live.select("node", "digest", "n", "tokens", "size", whole.alias("whole")), folder, f"level{depth}")
         parts.append(live.filter(f"size <= {LEAF}").select("node", "digest", "n", "tokens"))
-        # Pairs of blocks of a dense node: every class meets every other one in some pair.
-        blocks = F.ceil(F.col("size") / (LEAF // 2))
+        # Pairs of blocks: every class of the node meets every other one in some pair.
+        blocks = F.ceil(F.col("size") / BLOCK)
         own = F.pmod(F.xxhash64("digest", F.lit(depth)), blocks)
         parts.append(
-            live.filter("dense").withColumn("blocks", blocks).withColumn("own", own)
+            live.filter(f"size > {LEAF} AND whole").withColumn("blocks", blocks).withColumn("own", own)
             .select(F.explode(F.expr("transform(sequence(0, blocks - 1), o -> xxhash64(node, least(own, o), greatest(own, o), 'pair'))")).alias("node"), "digest", "n", "tokens")
         )
-        large = live.filter(f"size > {LEAF} AND NOT dense")
+        large = live.filter("NOT whole")
         if large.isEmpty():
             break
         first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(coordinates))
