@@ -10,6 +10,7 @@ broken Python file is scanned like the others.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -99,6 +100,7 @@ METHODS = {
     "Kotlin": (r"\b(?:class|object|interface)\b[^;{]*\{", r"\bfun\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?(\w+)\s*\("),
 }
 _NOT_NAMES = frozenset("if for while switch catch return else do try new throw function with using lock foreach sizeof when synchronized super this".split())
+_NAMES = {"Rust": {"new", "with", "function", "super"}}
 _RUBY_OPENS = re.compile(r"^\s*(?:class|module|def|if|unless|while|until|case|begin|for)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$")
 
 
@@ -159,13 +161,11 @@ def _scan(language: str, text: str) -> list[tuple[str, str, int, int]]:
     out: set[tuple[str, str, int, int]] = set()
 
     def line_at(at: int) -> int:
-        import bisect
-
         return bisect.bisect_left(breaks, at)
 
     def add(kind: str, m: re.Match, limit: int | None = None) -> None:
         name = m[1]
-        if name in _NOT_NAMES:
+        if name in _NOT_NAMES and name not in _NAMES.get(language, ()):
             return
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
         start = line_at(m.start(1))
@@ -180,12 +180,10 @@ def _scan(language: str, text: str) -> list[tuple[str, str, int, int]]:
         opens, method = METHODS[language]
         spans = [(m.end(), block_end(code, m.start())) for m in re.finditer(opens, code)]
         for a, b in spans:
-            for m in re.finditer(method, code[a:b], re.M):
-                before = code[a : a + m.start(1)]
+            for m in re.compile(method, re.M).finditer(code, a, b):
+                before = code[a : m.start(1)]
                 if before.count("{") == before.count("}"):
-                    whole = re.compile(method, re.M).match(code, a + m.start()) or m
-                    if whole.string is code:
-                        add("Method", whole)
+                    add("Method", m)
     return sorted(out, key=lambda s: (s[2], s[3], s[0], s[1]))
 
 
