@@ -50,7 +50,7 @@ SHINGLE = 5
 SIMILARITY = 75
 TREES, ROOTS, COORDINATES = 8, 2, 128
 #: Classes of a node above which it branches; above which it is cut into blocks; and of a block.
-SMALL, LEAF, BLOCK = 4096, 512, 384
+SMALL, LEAF, BLOCK = 4096, 1024, 768
 #: A child with more than this share of its parent is dense.
 DENSE = 0.7
 DEEPEST = 40
