@@ -9,8 +9,11 @@ first trigger form one *block* of a text, LENGTH bytes and the phrase before the
 1. Blocks are counted by dictionary key. A key that occurs once holds no repeat. Where
    all blocks of a key are equal bytes, all their strings repeat: no string is looked at
    by itself inside passages that repeat whole, however often.
-2. Only at the edges of repeats do blocks of one key differ. Their strings are named by
-   key, offset and hash, and counted.
+2. Blocks of the other keys are cut into parts of ``PART`` strings, which have all bytes but
+   PART - 1 at either end in common. Parts are named by those, and counted in the same
+   way; they carry the bytes at their ends.
+3. Where parts of one name differ, each string of a part is its name, its place and
+   the end bytes that it covers; these are counted.
 
 Triggers come in three nested densities, the rarest that lies early enough in the string
 being used; strings without any (long runs of one byte, say) are blocks of their own.
@@ -19,7 +22,7 @@ order is all the contract asks of that order, so the suffix arrays of dictionary
 parse are replaced by equality of key and hash, which needs no global sort and lets
 frequent passages combine before each shuffle (README, op10).
 
-Hashes of keys and strings are 64 bits and are always compared together, 128 bits in all.
+Hashes are 64 bits; a string is taken as repeated where two of them agree, or one and its bytes.
 
 Defined results: null text is empty and stays null; matches never cross texts; texts
 shorter than LENGTH lose nothing; repeated rows are texts of their own and so repeat
@@ -43,6 +46,8 @@ LENGTH = 200
 TRIGGER, CORE = 16, 64
 #: Zero bits of a trigger's hash, rarest first.
 BITS = (6, 5, 4)
+#: Strings of a part.
+PART = 16
 
 _VALUES = mixed(np.arange(256, dtype=np.uint64) + np.uint64(0x2545F4914F6CDD1D))
 
@@ -144,44 +149,67 @@ def _own(found: list | None, text: bytes) -> dict | None:
     return next((f for f in found if f["__key"] == key), None)
 
 
+def parts_of(sums: np.ndarray, data: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(name, base, least, most, ends) of the parts of some blocks.
+
+    A part's strings start ``least`` to ``most`` bytes before its base; ``ends`` are the PART - 1 bytes before
+    what they have in common and as many after it, zeros beyond the text.
+    """
+    first, last = (anchor - high) // PART, (anchor - low) // PART
+    size = last - first + 1
+    g = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+    anchor, low, high = (np.repeat(x, size) for x in (anchor, low, high))
+    base = anchor - PART * g
+    least, most = np.maximum(base - high, 0), np.minimum(base - low, PART - 1)
+    common = length - PART + 1
+    name = mixed(window_hashes(sums, base, np.minimum(base + common, len(data))) + mixed(g.astype(np.uint64)))
+    padded = np.concatenate((np.zeros(PART - 1, np.uint8), data, np.zeros(PART - 1, np.uint8)))
+    reach = np.arange(PART - 1)
+    after = np.minimum(base + common + PART - 1, len(data) + PART - 1)
+    ends = np.concatenate((padded[base[:, None] + reach], padded[after[:, None] + np.minimum(reach, (len(padded) - 1 - after)[:, None])]), axis=1)
+    return name, base, least, most, ends
+
+
 def repeated(documents: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
     """(doc_id, text_key, low, high): runs of starts of strings that occur elsewhere too."""
+    spark = documents.sparkSession
     rows = parsed(documents, length)
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).filter("n > 1")
     live = written(rows.join(keys.select("key", (F.col("least") == F.col("most")).alias("alike")), "key").select("doc_id", "text_key", "low", "high", "alike"), folder, "live")
-    freed(documents.sparkSession)
-    edges = _per_text(live.filter("NOT alike"), __blocks=F.struct("low", "high"))
+    freed(spark)
+    edges = _per_text(live.filter("NOT alike"), __blocks=F.col("low"))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
-    def strings(batches):
+    def cut(batches):
         for batch in batches:
-            owner, text_keys, keys_, names, starts = [], [], [], [], []
-            for i, (text, found) in enumerate(zip(raw_texts(batch.column("text")), batch.column("__found").to_pylist())):
-                own = _own(found, text)
-                if own is None:
-                    continue
-                data = np.frombuffer(text, np.uint8)
-                sums = prefix_sums(data)
-                anchor, low, high = blocks(sums, len(data), length)
-                wanted = np.isin(low, [b["low"] for b in own["__blocks"]])
-                anchor, low, high = anchor[wanted], low[wanted], high[wanted]
-                size = high - low + 1
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-                key = np.repeat(window_hashes(sums, anchor, np.minimum(anchor + CORE, len(data))), size) + (np.repeat(anchor, size) - at).astype(np.uint64)
-                owner.append(np.full(len(at), i)), text_keys.append(np.full(len(at), own["__key"])), starts.append(at)
-                keys_.append(key.view(np.int64)), names.append(window_hashes(sums, at, at + length).view(np.int64))
-            if owner:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(np.concatenate(owner))), *[pa.array(np.concatenate(x)) for x in (text_keys, keys_, names)], pa.array(np.concatenate(starts).astype(np.int32))],
-                    ["doc_id", "text_key", "key", "name", "start"],
-                )
-
-    single = _with_texts(documents.select("doc_id", "text"), edges, "inner").mapInArrow(strings, f"doc_id {kind}, text_key long, key long, name long, start int")
-    single = written(single, folder, "strings")
-    freed(documents.sparkSession)
-    twice = single.groupBy("key", "name").count().filter("count > 1").drop("count")
-    starts = single.join(twice, ["key", "name"]).select("doc_id", "text_key", F.col("start").alias("low"), F.col("start").alias("high"))
-    return live.filter("alike").select("doc_id", "text_key", "low", "high").union(starts)
+            found = []
+            for i, (text, hits) in enumerate(zip(raw_texts(batch.column("text")), batch.column("__found").to_pylist())):
+                own = _own(hits, text)
+                if own is not None:
+                    data = np.frombuffer(text, np.uint8)
+                    sums = prefix_sums(data)
+                    anchor, low, high = blocks(sums, len(data), length)
+                    wanted = np.isin(low, own["__blocks"])
+                    made = parts_of(sums, data, anchor[wanted], low[wanted], high[wanted], length)
+                    found.append((np.full(len(made[0]), i), np.full(len(made[0]), own["__key"]), *made))
+            if found:
+                owner, key, name, base, least, most, ends = (np.concatenate(x) for x in zip(*found))
+                bytes_ = pa.Array.from_buffers(pa.binary(ends.shape[1]), len(ends), [None, pa.py_buffer(ends.tobytes())]).cast(pa.binary())
+                columns = [pa.array(key), pa.array(name.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (base, least, most)), bytes_]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), *columns], ["doc_id", "text_key", "name", "base", "least", "most", "ends"])
+
+    cut_rows = _with_texts(documents.select("doc_id", "text"), edges, "inner").mapInArrow(cut, f"doc_id {kind}, text_key long, name long, base int, least int, most int, ends binary")
+    sign = F.xxhash64("ends", "least", "most")
+    names = cut_rows.groupBy("name").agg(F.count("*").alias("n"), F.min(sign).alias("a"), F.max(sign).alias("b")).filter("n > 1")
+    parts = written(cut_rows.join(names.select("name", (F.col("a") == F.col("b")).alias("alike")), "name"), folder, "parts")
+    freed(spark)
+    width = PART - 1
+    covers = F.expr(f"xxhash64(substring(ends, {width} - back + 1, back), substring(ends, {width + 1}, {width} - back))")
+    single = parts.filter("NOT alike").withColumn("back", F.explode(F.sequence("least", "most"))).select("doc_id", "text_key", "name", "back", covers.alias("covers"), (F.col("base") - F.col("back")).alias("low"))
+    twice = single.groupBy("name", "back", "covers").count().filter("count > 1").drop("count")
+    starts = single.join(twice, ["name", "back", "covers"]).select("doc_id", "text_key", "low", F.col("low").alias("high"))
+    whole = parts.filter("alike").select("doc_id", "text_key", (F.col("base") - F.col("most")).alias("low"), (F.col("base") - F.col("least")).alias("high"))
+    return live.filter("alike").select("doc_id", "text_key", "low", "high").union(whole).union(starts)
 
 
 def covered(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -203,7 +231,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = documents.sparkSession
     folder = shared_dir(spark)
     runs = written(_per_text(repeated(documents, folder, length), __runs=F.struct("low", "high")), folder, "runs")
-    dropped(spark, folder, "live", "strings")
+    dropped(spark, folder, "live", "parts")
     freed(spark)
     base = documents.drop("n_bytes", "n_removed", "removed", "kept_sha256")
     joined = _with_texts(base, runs, "left")
