@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised kernels take at once; a longer text is taken alone.
 SLICE = 2 << 20
@@ -45,6 +46,17 @@ def dropped(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fenced(column: Column) -> Column:
+    """The same values behind a fence for the optimizer.
+
+    A filter on a projected column is pushed below the projection with the column's
+    expression put in its place, again inside every lambda that names it; what was linear
+    in a text's length then is quadratic. Optimizer rules stop at expressions that they
+    take for random, as they do a partition's number.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

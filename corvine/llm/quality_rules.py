@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import table
+from corvine.llm.common import fenced, table
 
 BLANKS = "' \\t\\n\\u000B\\f\\r'"
 # Frequent function words of English, German, French and Spanish.
@@ -83,7 +83,7 @@ def measured(documents: DataFrame) -> DataFrame:
         F.expr("array_sort(array_distinct(flatten(filter(zip_with(hashes, slice(hashes, 2, size(hashes)), (a, b) -> if(shiftright(a, bits) = shiftright(b, bits), array(a, b), NULL)), x -> x IS NOT NULL))))"),
     ).withColumn("hashes", F.expr("sort_array(transform(hashes, h -> h & (shiftleft(1L, bits) - 1L)))"))
     covered = F.expr("aggregate(zip_with(hashes, slice(hashes, 2, size(hashes)), (a, b) -> if(b IS NULL, 3L, least(3L, b - a))), 0L, (s, x) -> s + x)")
-    counted = twice.withColumn("n_repeat_words", covered).drop("hashes", "bits")
+    counted = twice.withColumn("n_repeat_words", fenced(covered)).drop("hashes", "bits")
 
     def per(count: str, of: str) -> Column:
         return F.coalesce(F.try_divide(F.col(count).cast("double"), F.col(of)), F.lit(0.0))

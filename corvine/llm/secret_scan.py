@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import table
+from corvine.llm.common import fenced, table
 
 KINDS = ("assign", "access", "hex", "random")
 # The patterns of the three kinds, and each match's least length.
@@ -149,7 +149,7 @@ def scanned(documents: DataFrame, table_: list[float], threshold: float = THRESH
         F.expr(f"concat({spans(0, 'assign', f'assign_score[x.i] >= {LEAST_VALUE}')}, {spans(1, 'access', 'true')}, {spans(2, 'hex', 'true')})").alias("base"),
         F.expr(spans(3, "random", f"random_score[x.i] >= {threshold!r}D")).alias("more"),
     )
-    both = fixed.withColumn("secret_spans", F.expr("array_sort(concat(base, filter(more, m -> NOT exists(base, b -> b.start < m.end AND b.end > m.start))))"))
+    both = fixed.withColumn("secret_spans", fenced(F.expr("array_sort(concat(base, filter(more, m -> NOT exists(base, b -> b.start < m.end AND b.end > m.start))))")))
     return both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(base.columns)], "secret_spans")
 
 
