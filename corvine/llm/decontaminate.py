@@ -17,7 +17,6 @@ are carried by ``cleaned`` and ignored by ``report``.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
