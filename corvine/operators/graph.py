@@ -6,7 +6,6 @@ cyclic graphs end and lineage stays short.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
