@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.functions.languages import is_keyword, resolve_kind, resolve_language
-from corvine.functions.patterns import glob_match, regex_match, word_match
+from corvine.functions.patterns import glob_match, regex_match, required_literals, word_match
 from corvine.operators import comments, results, symbols, trigram
 from corvine.sources.corpus import lines
 
@@ -68,6 +68,9 @@ def filtered(files: DataFrame, query: Query) -> DataFrame:
 
 
 def matching_lines(files: DataFrame, query: Query, postings: DataFrame | None = None) -> DataFrame:
+    # What every matching line holds, its file holds: files without it are not cut into lines.
+    for literal in required_literals(query.pattern) if query.regex else [query.pattern]:
+        files = files.filter(F.col("content").contains(literal))
     every = lines(files)
     if query.regex:
         source = trigram.regex_candidates(every, postings, query.pattern) if postings is not None else every

@@ -110,8 +110,10 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 def line_array(content: Column) -> Column:
     """The lines of a text: \\n or \\r\\n ends one, and a last empty one does not count."""
-    parts = F.split(F.coalesce(content, F.lit("")), "\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    text = F.coalesce(content, F.lit(""))
+    length = F.char_length(text)
+    whole = F.when(text.endswith("\r\n"), F.substring(text, F.lit(1), length - 2)).when(text.endswith("\n"), F.substring(text, F.lit(1), length - 1)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, "\r?\n", -1))
 
 
 def lines(files: DataFrame) -> DataFrame:
