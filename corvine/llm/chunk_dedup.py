@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import mixed, raw_texts, slices, table
+from corvine.llm.common import mixed, raw_texts, table, text_slices
 
 SMALLEST, LARGEST, BITS = 40, 512, 5
 WINDOW = 32
@@ -79,7 +79,7 @@ def chunked(documents: DataFrame, smallest: int = SMALLEST, largest: int = LARGE
     def chunk(batches):
         for batch in batches:
             owner, keys, first, second, starts, sizes = [], [], [], [], [], []
-            for at, part in slices(raw_texts(batch.column("text"))):
+            for at, part in text_slices(batch.column("text")):
                 for i, (text, ends) in enumerate(zip(part, cuts(part, smallest, largest, bits))):
                     start, key = 0, xxhash.xxh3_64_intdigest(text) - (1 << 63)
                     for end in ends:

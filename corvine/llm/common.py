@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,20 @@ def slices(texts: list[bytes], size: int = SLICE) -> Iterator[tuple[int, list[by
         yield first, texts[first:]
 
 
+def text_slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
+    """``slices(raw_texts(column))`` with only one run of texts in memory at a time."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(column):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield first, raw_texts(column.slice(first, last - first))
+        first = last
+
+
 def separators(kept) -> np.ndarray:
     """256 flags: true for bytes that end a word."""
     return np.array([not kept(b) for b in range(256)])

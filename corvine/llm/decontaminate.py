@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import PUNCT, Words, raw_texts, slices, table, windows
+from corvine.llm.common import PUNCT, Words, raw_texts, slices, table, text_slices, windows
 
 SIZE = 10
 #: Windows that one broadcast table holds at most (about 500 bytes each, with their words).
@@ -93,7 +93,7 @@ def _scan(df: DataFrame, table_: Windows) -> DataFrame:
     def scan(batches):
         for batch in batches:
             n_words, n_hit, ids, spans = [], [], [], []
-            for _, part in slices(raw_texts(batch.column("text"))):
+            for _, part in text_slices(batch.column("text")):
                 words = Words(part, PUNCT)
                 hits = table_.scan(words)
                 n_words += np.diff(words.first).tolist()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import BLANK, Words, freed, mixed, raw_texts, shared_dir, slices, table
+from corvine.llm.common import BLANK, Words, freed, mixed, shared_dir, table, text_slices
 
 START, END = np.uint64(1), np.uint64(2)
 #: Text bytes whose bigrams a task combines at once.
@@ -287,7 +287,7 @@ def train(texts: DataFrame, folder: str, sample_documents: int = 2000) -> Model:
 
         held, size = [], 0
         for batch in batches:
-            for _, part in slices(raw_texts(batch.column("text"))):
+            for _, part in text_slices(batch.column("text")):
                 tokens, first = tokens_of(part)
                 held.append((contexts_of(tokens, first), tokens))
                 size += sum(map(len, part)) + 8 * len(part)
@@ -356,7 +356,7 @@ def train(texts: DataFrame, folder: str, sample_documents: int = 2000) -> Model:
 
 def _word_counts(batches):
     for batch in batches:
-        for _, part in slices(raw_texts(batch.column("text"))):
+        for _, part in text_slices(batch.column("text")):
             names, n = np.unique(tokens_of(part)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["name", "n"])
 
@@ -370,7 +370,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     def score(batches):
         for batch in batches:
             columns = [[], [], [], []]
-            for _, part in slices(raw_texts(batch.column(len(rest)))):
+            for _, part in text_slices(batch.column(len(rest))):
                 tokens, first = tokens_of(part)
                 for c, x in zip(columns, (np.diff(first), *model.score(tokens, first))):
                     c.append(x)

@@ -28,12 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import BLANK, Words, mixed, raw_texts, slices, table
+from corvine.llm.common import BLANK, Words, mixed, raw_texts, table, text_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
 #: Words whose scores a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Words longer than this are scored in runs of so many bytes, which bounds a block's memory.
 LONGEST = 64
 
@@ -252,7 +252,7 @@ def predicted(documents: DataFrame, model: Model) -> DataFrame:
             column = batch.column(where)
             letter = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             names, scores = [], []
-            for first, part in slices(raw_texts(column)):
+            for first, part in text_slices(column):
                 if not model.languages:
                     names += [UNKNOWN] * len(part)
                     scores += [0.0] * len(part)

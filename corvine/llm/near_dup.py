@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import BLANK, Words, dropped, mixed, raw_texts, shared_dir, slices, table, windows, written
+from corvine.llm.common import BLANK, Words, dropped, mixed, raw_texts, shared_dir, slices, table, text_slices, windows, written
 
 SHINGLE = 5
 #: Links have 100 * intersection >= SIMILARITY * union.
@@ -95,7 +95,7 @@ def signatures(documents: DataFrame) -> DataFrame:
     def sign(batches):
         for batch in batches:
             n, digest, roots, tokens = [], [], [], []
-            for _, part in slices(raw_texts(batch.column("text"))):
+            for _, part in text_slices(batch.column("text")):
                 sets = shingle_sets(part)
                 n += map(len, sets)
                 full = [s for s in sets if len(s)]

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import dropped, freed, mixed, power_tables, raw_texts, shared_dir, slices, table, written
+from corvine.llm.common import dropped, freed, mixed, power_tables, raw_texts, shared_dir, table, text_slices, written
 
 LENGTH = 200
 #: Bytes of a trigger, and of the text from its start that name it.
@@ -112,7 +112,7 @@ def parsed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     def parse(batches):
         for batch in batches:
             owner, text_keys, columns = [], [], [[], [], [], []]
-            for at, part in slices(raw_texts(batch.column("text"))):
+            for at, part in text_slices(batch.column("text")):
                 for i, text in enumerate(part):
                     if len(text) >= length:
                         found = _blocks_of(text, length)
