@@ -12,7 +12,8 @@ first trigger form one *block* of a text, LENGTH bytes and the phrase before the
 2. Blocks of the other keys are cut into parts of ``PART`` strings, which have all bytes but
    PART - 1 at either end in common. Parts are named by those, and counted in the same
    way; they carry the bytes at their ends.
-3. Where parts of one name differ, each string of a part is its name, its place and
+3. Of equal blocks, and of equal parts, one stands for all in what follows.
+4. Where parts of one name differ, each string of a part is its name, its place and
    the end bytes that it covers; these are counted.
 
 Triggers come in three nested densities, the rarest that lies early enough in the string
@@ -175,9 +176,15 @@ def repeated(documents: DataFrame, folder: str, length: int = LENGTH) -> DataFra
     spark = documents.sparkSession
     rows = parsed(documents, length)
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).filter("n > 1")
-    live = written(rows.join(keys.select("key", (F.col("least") == F.col("most")).alias("alike")), "key").select("doc_id", "text_key", "low", "high", "alike"), folder, "live")
+    live = written(rows.join(keys.select("key", (F.col("least") == F.col("most")).alias("alike")), "key"), folder, "live")
     freed(spark)
-    edges = _per_text(live.filter("NOT alike"), __blocks=F.col("low"))
+    # Of equal blocks one stands for all in what follows; that they are several settles them.
+    place = F.struct("doc_id", "text_key", "low")
+    mixed_keys = live.filter("NOT alike")
+    kinds = mixed_keys.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(place).alias("chosen"))
+    told = written(mixed_keys.join(kinds, ["key", "whole"]).select("doc_id", "text_key", "low", "high", (F.col("n") > 1).alias("several"), (place == F.col("chosen")).alias("stands")), folder, "told")
+    freed(spark)
+    edges = _per_text(told.filter("stands"), __blocks=F.col("low"))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
@@ -205,11 +212,21 @@ def repeated(documents: DataFrame, folder: str, length: int = LENGTH) -> DataFra
     freed(spark)
     width = PART - 1
     covers = F.expr(f"xxhash64(substring(ends, {width} - back + 1, back), substring(ends, {width + 1}, {width} - back))")
-    single = parts.filter("NOT alike").withColumn("back", F.explode(F.sequence("least", "most"))).select("doc_id", "text_key", "name", "back", covers.alias("covers"), (F.col("base") - F.col("back")).alias("low"))
-    twice = single.groupBy("name", "back", "covers").count().filter("count > 1").drop("count")
-    starts = single.join(twice, ["name", "back", "covers"]).select("doc_id", "text_key", "low", F.col("low").alias("high"))
+    odd = parts.filter("NOT alike").withColumn("sign", sign)
+    # A part's signature holds its end bytes, so the first row of a signature stands for all.
+    signs = odd.groupBy("name", "sign").agg(F.count("*").alias("n"), F.min("ends").alias("ends"), F.min("least").alias("least"), F.min("most").alias("most"))
+    strings = signs.withColumn("back", F.explode(F.sequence("least", "most"))).select("name", "sign", "back", covers.alias("covers"))
+    twice = strings.groupBy("name", "back", "covers").count().filter("count > 1").drop("count")
+    backs = strings.join(twice, ["name", "back", "covers"]).groupBy("name", "sign").agg(F.collect_set("back").alias("backs"))
+    settled = signs.join(backs, ["name", "sign"], "left").filter("n > 1 OR backs IS NOT NULL").select("name", "sign", (F.col("n") > 1).alias("several"), "backs")
+    hit = odd.join(settled, ["name", "sign"])
+    runs = F.when(F.col("several"), F.array(F.struct((F.col("base") - F.col("most")).alias("low"), (F.col("base") - F.col("least")).alias("high")))).otherwise(
+        F.transform("backs", lambda x: F.struct((F.col("base") - x).alias("low"), (F.col("base") - x).alias("high")))
+    )
+    ends_ = hit.select("doc_id", "text_key", F.explode(runs).alias("r")).select("doc_id", "text_key", "r.*")
     whole = parts.filter("alike").select("doc_id", "text_key", (F.col("base") - F.col("most")).alias("low"), (F.col("base") - F.col("least")).alias("high"))
-    return live.filter("alike").select("doc_id", "text_key", "low", "high").union(whole).union(starts)
+    blocks_ = live.filter("alike").select("doc_id", "text_key", "low", "high").union(told.filter("several").select("doc_id", "text_key", "low", "high"))
+    return blocks_.union(whole).union(ends_)
 
 
 def covered(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -231,7 +248,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = documents.sparkSession
     folder = shared_dir(spark)
     runs = written(_per_text(repeated(documents, folder, length), __runs=F.struct("low", "high")), folder, "runs")
-    dropped(spark, folder, "live", "parts")
+    dropped(spark, folder, "live", "told", "parts")
     freed(spark)
     base = documents.drop("n_bytes", "n_removed", "removed", "kept_sha256")
     joined = _with_texts(base, runs, "left")
