@@ -1,7 +1,8 @@
 """The import graph: edges are (src, dst) rows, repeated ones kept; nodes are (id, ...).
 
 Traversals are loops of joins over a frontier, each round written out (``keep``), so that
-cyclic graphs end and lineage stays short.
+cyclic graphs end and lineage stays short. A graph of at most ``SMALL_GRAPH`` edges, counted
+before, is walked on the driver instead, where a round costs no job; results are the same.
 """
 
 from __future__ import annotations
@@ -13,6 +14,71 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges up to which a graph may be walked on the driver.
+SMALL_GRAPH = 100_000
+
+
+def on_driver(edges: DataFrame) -> list[tuple] | None:
+    """The edges with a target, if there are at most SMALL_GRAPH."""
+    if SMALL_GRAPH <= 0:
+        return None
+    rows = edges.select("src", "dst").filter("dst IS NOT NULL").limit(SMALL_GRAPH + 1).collect()
+    return None if len(rows) > SMALL_GRAPH else [tuple(r) for r in rows]
+
+
+def neighbours(pairs: list[tuple]) -> dict:
+    out: dict = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    return out
+
+
+def walked(adjacent: dict, starts, depth: int | None = None) -> dict:
+    """Least number of steps to each node that the starts reach, themselves at 0."""
+    found, frontier = dict.fromkeys(starts, 0), list(starts)
+    level = 0
+    while frontier and (depth is None or level < depth):
+        level += 1
+        reached = {b for a in frontier for b in adjacent.get(a, ()) if b not in found}
+        found |= dict.fromkeys(reached, level)
+        frontier = list(reached)
+    return found
+
+
+def strong_components(adjacent: dict) -> list[list]:
+    """Strongly connected components by path-based search, without recursion."""
+    order: dict = {}
+    done: set = set()
+    open_, bounds, out = [], [], []
+    for root in adjacent:
+        if root in order:
+            continue
+        stack = [(root, iter(adjacent.get(root, ())))]
+        order[root] = len(order)
+        open_.append(root), bounds.append(root)
+        while stack:
+            node, rest = stack[-1]
+            for nxt in rest:
+                if nxt not in order:
+                    order[nxt] = len(order)
+                    open_.append(nxt), bounds.append(nxt)
+                    stack.append((nxt, iter(adjacent.get(nxt, ()))))
+                    break
+                if nxt not in done:
+                    while order[bounds[-1]] > order[nxt]:
+                        bounds.pop()
+            else:
+                stack.pop()
+                if bounds[-1] == node:
+                    bounds.pop()
+                    part = [open_.pop()]
+                    while part[-1] != node:
+                        part.append(open_.pop())
+                    done.update(part)
+                    out.append(part)
+    return out
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df as a checkpoint in spark.checkpoint.dir; where none is set (tests), written to the warehouse's neighbourhood."""
     spark = df.sparkSession
@@ -49,8 +115,10 @@ def dependents(edges: DataFrame, node) -> DataFrame:
 def transitive(edges: DataFrame, start, depth: int | None = None) -> DataFrame:
     """(id, depth): nodes reachable from ``start``, itself included at 0, with the least number of steps."""
     spark = edges.sparkSession
-    pairs = edges.select("src", "dst").filter("dst IS NOT NULL").distinct()
     kind = edges.schema["src"].dataType.simpleString()
+    if (few := on_driver(edges)) is not None:
+        return spark.createDataFrame(list(walked(neighbours(few), [start], depth).items()), f"id {kind}, depth int")
+    pairs = edges.select("src", "dst").filter("dst IS NOT NULL").distinct()
     found = spark.createDataFrame([(start, 0)], f"id {kind}, depth int")
     frontier, level = found, 0
     while depth is None or level < depth:
@@ -96,6 +164,15 @@ def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Every node takes its least neighbour as parent and edges are contracted, round by round.
     """
+    if (few := on_driver(edges)) is not None:
+        kind = edges.schema["src"].dataType.simpleString()
+        least: dict = {}
+        both = neighbours(few + [(b, a) for a, b in few])
+        for node in sorted(both):
+            if node not in least:
+                least |= dict.fromkeys(walked(both, [node]), node)
+        known = edges.sparkSession.createDataFrame(list(least.items()), f"id {kind}, __least {kind}")
+        return nodes.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("__least", "id").alias("island"))
     pairs = edges.filter("dst IS NOT NULL AND src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     out = nodes.select("id", F.col("id").alias("island")).distinct()
     pairs = keep(pairs)
@@ -130,6 +207,10 @@ def cyclic(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
+    if (few := on_driver(edges)) is not None:
+        loop = {a for a, b in few if a == b}
+        rows = [(x, min(part)) for part in strong_components(neighbours(few)) if len(part) > 1 or part[0] in loop for x in part]
+        return spark.createDataFrame(rows, f"id {kind}, component {kind}")
     loops = edges.filter("src = dst").select(F.col("src").alias("id")).distinct()
     live = keep(edges.filter("dst IS NOT NULL AND src <> dst").select("src", "dst").distinct())
     done = spark.createDataFrame([], f"id {kind}, component {kind}")

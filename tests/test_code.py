@@ -106,7 +106,12 @@ def graph_of(spark):
     return make
 
 
-def test_graph_walks(spark, graph_of):
+@pytest.fixture(params=[0, 100_000], ids=["joins", "driver"])
+def way(request, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL_GRAPH", request.param)
+
+
+def test_graph_walks(spark, graph_of, way):
     edges = graph_of([(1, 2), (2, 3), (3, 1), (3, 4), (1, 4), (1, 4), (6, None), (7, 7)])
     nodes = spark.createDataFrame([(i,) for i in range(1, 9)], "id long")
     assert sorted(map(tuple, graph.transitive(edges, 1).collect())) == [(1, 0), (2, 1), (3, 2), (4, 1)]
@@ -119,12 +124,12 @@ def test_graph_walks(spark, graph_of):
     assert graph.summary(nodes, edges) == {"cycles": graph.cycles(edges).count(), "hotspots": 1, "unused": 3, "islands": 1}
 
 
-def test_components_of_nested_cycles(graph_of):
+def test_components_of_nested_cycles(graph_of, way):
     edges = graph_of([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (5, 6), (6, 7), (7, 5), (7, 3)])
     assert sorted(map(tuple, graph.cyclic(edges).collect())) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (7, 5)]
 
 
-def test_empty_graphs(spark, graph_of):
+def test_empty_graphs(spark, graph_of, way):
     edges, nodes = graph_of([]), spark.createDataFrame([], "id long")
     for out in (graph.cyclic(edges), graph.cycles(edges), graph.islands(nodes, edges), graph.unused(nodes, edges), graph.hotspots(edges)):
         assert out.count() == 0
