@@ -133,6 +133,13 @@ def transitive(edges: DataFrame, start, depth: int | None = None) -> DataFrame:
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(id): ``starts`` and all that they reach; cycles end."""
+    if (few := on_driver(edges)) is not None:
+        # Only starts with an edge lead on; the others are in the answer as they are.
+        adjacent = neighbours(few)
+        sources = edges.sparkSession.createDataFrame([(a,) for a in adjacent], f"id {edges.schema['src'].dataType.simpleString()}")
+        first = [r[0] for r in starts.select("id").join(sources, "id", "left_semi").distinct().collect()]
+        reached = edges.sparkSession.createDataFrame([(x,) for x in walked(adjacent, first)], sources.schema)
+        return starts.select("id").union(reached).distinct()
     pairs = edges.select("src", "dst").filter("dst IS NOT NULL").distinct()
     found = keep(starts.select("id").distinct())
     frontier = found
