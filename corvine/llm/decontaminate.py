@@ -19,13 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import PUNCT, Words, raw_texts, slices, table, text_slices, windows
+from corvine.llm.common import PUNCT, Words, raw_texts, shared_dir, slices, table, text_slices, windows, written
 
 SIZE = 10
 #: Windows that one broadcast table holds at most (about 500 bytes each, with their words).
@@ -81,11 +82,33 @@ class Windows:
         return hits
 
 
+def broadcasts(benchmark: DataFrame, size: int, chunk: int) -> Iterator[Windows]:
+    """The benchmark's windows, at most ``chunk`` of them at a time; one table without windows if there are none."""
+    held: list = []
+    first = True
+    for row in benchmark.select("item_id", "text").toLocalIterator():
+        for pair in item_windows([tuple(row)], size):
+            if len(held) >= chunk:
+                yield Windows(held)
+                held, first = [], False
+            held.append(pair)
+    if held or first:
+        yield Windows(held)
+
+
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0])))).tolist()
     return list(zip(edges[0::2], edges[1::2]))
 
 
+def flagged(starts: np.ndarray, ends: np.ndarray, spans: list[dict]) -> np.ndarray:
+    """Which words of a text lie in one of the spans."""
+    flags = np.zeros(len(starts), bool)
+    for s in spans:
+        flags |= (starts >= s["start"]) & (ends <= s["end"])
+    return flags
+
+
 def _scan(df: DataFrame, table_: Windows) -> DataFrame:
     """df's columns with FOUND: spans are byte ranges of the text's UTF-8, from a hit run's first word to its last."""
     fields = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -116,16 +139,7 @@ def _scan(df: DataFrame, table_: Windows) -> DataFrame:
 def found(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, chunk: int = CHUNK) -> DataFrame:
     """doc_id and text with FOUND. ``benchmark`` has (item_id, text)."""
     base = documents.select("doc_id", "text")
-    passes: list[DataFrame] = []
-    held: list = []
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        for pair in item_windows([tuple(row)], size):
-            held.append(pair)
-            if len(held) >= chunk:
-                passes.append(_scan(base, Windows(held)))
-                held = []
-    if held or not passes:
-        passes.append(_scan(base, Windows(held)))
+    passes = [_scan(base, table_) for table_ in broadcasts(benchmark, size, chunk)]
     if len(passes) == 1:
         return passes[0]
     return _united(passes)
@@ -143,9 +157,7 @@ def _united(passes: list[DataFrame]) -> DataFrame:
             rows = batch.to_pylist()
             for row in rows:
                 words = Words([(row["text"] or "").encode()], PUNCT)
-                flags = np.zeros(len(words.hashes), bool)
-                for s in row["spans"]:
-                    flags |= (words.starts >= s["start"]) & (words.ends <= s["end"])
+                flags = flagged(words.starts, words.ends, row["spans"])
                 row["n_hit"] = int(flags.sum())
                 row["spans"] = [{"start": int(words.starts[a]), "end": int(words.ends[b - 1])} for a, b in runs(flags)]
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
@@ -168,29 +180,56 @@ def report(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, chunk:
     )
 
 
-def cleaned(documents: DataFrame, benchmark: DataFrame, most_hit: float = 0.5, size: int = SIZE) -> DataFrame:
+def cleaned(documents: DataFrame, benchmark: DataFrame, most_hit: float = 0.5, size: int = SIZE, chunk: int = CHUNK) -> DataFrame:
     """The documents without benchmark text, with the columns they came with.
 
     A document of which more than ``most_hit`` of the words are hit goes; from the
-    others the hit spans are cut, and ``n_chars``, if there, is counted anew. One
-    broadcast must hold the benchmark (see CHUNK).
+    others the hit spans are cut, and ``n_chars``, if there, is counted anew. A benchmark
+    of more than ``chunk`` windows is scanned in several passes, each written out before
+    the next; documents are judged by the hits of all passes together.
     """
-    pairs = [pair for row in benchmark.select("item_id", "text").toLocalIterator() for pair in item_windows([tuple(row)], size)]
-    if len(pairs) > CHUNK:
-        raise ValueError(f"{len(pairs)} windows; cut the benchmark into parts of {CHUNK} and clean for each in turn")
-    known = Windows(pairs)
-    where = documents.columns.index("text")
-    chars = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
+    tables = broadcasts(benchmark, size, chunk)
+    known, more = next(tables), next(tables, None)
+    if more is None:
+        return documents.mapInArrow(_cleaner(documents.columns, most_hit, known), documents.schema)
+
+    # What is hit depends on the text alone, so hits are carried by its digest.
+    digest = F.sha2(F.col("text"), 256)
+    texts, folder = documents.select("text"), shared_dir(documents.sparkSession)
+    passes: list[DataFrame] = []
+    for known in chain([known, more], tables):
+        hits = _scan(texts, known).filter("n_hit > 0").select(digest.alias("__digest"), "spans")
+        passes.append(written(hits, folder, f"hits{len(passes)}"))
+    united = reduce(DataFrame.unionByName, passes).groupBy("__digest").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("__spans"))
+    judged = documents.join(united, digest == F.col("__digest"), "left").select(*[F.col(f"`{c}`") for c in documents.columns], "__spans")
+    return judged.mapInArrow(_cleaner(documents.columns, most_hit), documents.schema)
+
+
+def _cleaner(names: list[str], most_hit: float, known: Windows | None = None):
+    """Drops and cuts by the hits of ``known``, or else by the spans in a column behind the documents' own."""
+    where = names.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else None
+
+    def scan(words: Words, spans: list[list[dict] | None] | None) -> dict[int, np.ndarray]:
+        if spans is None:
+            return {i: flags for i, (flags, _) in known.scan(words).items()}
+        hits = {}
+        for i, found in enumerate(spans):
+            if found:
+                a, b, at = int(words.first[i]), int(words.first[i + 1]), words.text_starts[i]
+                hits[i] = flagged(words.starts[a:b] - at, words.ends[a:b] - at, found)
+        return hits
 
     def clean(batches):
         for batch in batches:
             texts, keep, changed = raw_texts(batch.column(where)), [], {}
+            spans = None if known else batch.column(len(names)).to_pylist()
             for first, part in slices(texts):
                 words = Words(part, PUNCT)
-                hits = known.scan(words)
+                hits = scan(words, spans and spans[first : first + len(part)])
                 for i, text in enumerate(part):
                     if i in hits:
-                        flags, a, at = hits[i][0], int(words.first[i]), int(words.text_starts[i])
+                        flags, a, at = hits[i], int(words.first[i]), int(words.text_starts[i])
                         if flags.sum() > most_hit * len(flags):
                             continue
                         left, kept = 0, []
@@ -199,16 +238,17 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, most_hit: float = 0.5, s
                             left = int(words.ends[a + y - 1]) - at
                         changed[first + i] = b"".join([*kept, text[left:]]).decode()
                     keep.append(first + i)
-            columns = list(batch.columns)
+            columns = list(batch.columns)[: len(names)]
             if changed:
                 old = columns[where].to_pylist()
                 columns[where] = pa.array([changed.get(i, t) for i, t in enumerate(old)], columns[where].type)
                 if chars is not None:
                     counts = columns[chars].to_pylist()
                     columns[chars] = pa.array([len(changed[i]) if i in changed else c for i, c in enumerate(counts)], columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).take(pa.array(keep, pa.int64()))
+            schema = pa.schema(list(batch.schema)[: len(names)])
+            yield pa.RecordBatch.from_arrays(columns, schema=schema).take(pa.array(keep, pa.int64()))
 
-    return documents.mapInArrow(clean, documents.schema)
+    return clean
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -119,6 +119,19 @@ def test_benchmark_text_is_cut(spark):
     assert sorted(got) == [1, 3, 4] and got[1]["text"] == "Before it, " + "filler " * 20 + ", after." and got[1]["n_chars"] == len(got[1]["text"]) and got[4]["n_chars"] == 7
 
 
+def test_cleaning_in_several_broadcasts(spark, odd):
+    """Hits of all passes count together before a document is dropped or cut."""
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(900, " ".join(words)), (901, ""), (902, None)], "item_id long, text string"))
+    rows = [(40_001, " ".join(words[:30] + ["x"] * 20)), (40_002, "é " + " ".join(words[:30]) + "; é" * 40), (40_003, " ".join(words)), (40_003, " ".join(words[5:25]) + " y" * 30), (None, " ".join(words[:12]) + " z" * 30)]
+    frame = odd.unionByName(spark.createDataFrame(rows * 2, "doc_id long, text string").withColumns({"n_chars": F.lit(0).cast("long"), "lang": F.lit("en")}), allowMissingColumns=True)
+    once = collections.Counter(tuple(r) for r in decontaminate.cleaned(frame, bench).collect())
+    assert sum(once.values()) < frame.count() and not [r for r in once if r[0] == 40_001 or r[0] == 40_003 and "y" not in r[1]]
+    for chunk in (7, 300):
+        several = decontaminate.cleaned(frame, bench, chunk=chunk)
+        assert several.columns == frame.columns and collections.Counter(tuple(r) for r in several.collect()) == once
+
+
 def test_mixing_against_a_plain_schedule(spark):
     counts = {"a": 700, "b": 130, "c": 64, None: 31, "d": 1}
     rows = [(n * 10_000 + i, s, "t", 3) for n, (s, k) in enumerate(counts.items()) for i in range(k)] + [(None, "a", None, None), (None, "a", None, None), (5, "b", "t", 3), (5, "b", "t", 3)]
