@@ -5,11 +5,13 @@ Each source's documents, in an order drawn by hash, form blocks. With weight w,
 earliest deadline first over the released blocks then keeps every source within one
 block of its target at every slot.
 
-Weights are made whole parts of ``period`` slots, so the schedule repeats: the driver
-schedules one period (bounded by a parameter) and a block's slot follows by arithmetic.
+Weights are taken exactly, as whole numbers over their sum, and the driver schedules all
+blocks one by one, so the bound holds for the given weights at any number of blocks,
+however small a weight. A ``period`` asks for weights rounded to whole parts of it instead.
 When a source has no blocks left the others go on with their weights scaled up, from
-the next slot: a *phase*. There are at most as many phases as sources, so the driver
-holds only tables bounded by ``most_sources`` and ``period``, however many rows there are.
+the next slot: a *phase*. The driver holds eight bytes a block (a quarter of a byte a
+document) and sends them to the tasks; its time grows with the blocks, and with the
+sources times the phases, of which there are at most as many as sources.
 
 Ranks within a source come from small hash bins: their counts are summed up per source
 and rows are ranked inside a bin, so a source with a third of all rows is spread over
@@ -24,7 +26,10 @@ carried along unless they have the name of a result, which replaces them.
 from __future__ import annotations
 
 import heapq
+from array import array
 from dataclasses import dataclass
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
 import pandas as pd
@@ -36,9 +41,6 @@ from corvine.llm.common import table
 
 #: Documents in a block.
 BLOCK = 32
-#: Slots after which a phase's schedule repeats.
-PERIOD = 1000
-MOST_SOURCES = 500
 #: Rows that a hash bin holds on average.
 BIN_ROWS = 500
 RESULTS = ("block", "phase", "release", "deadline", "slot", "position")
@@ -58,59 +60,76 @@ def whole_parts(weights: dict, period: int) -> dict:
     return parts
 
 
-def one_period(parts: dict, period: int) -> dict:
-    """Each source's slots within a period, by earliest deadline among released blocks."""
-    slots: dict = {s: [] for s in parts}
-    waiting = [(0, s_no, s, 1) for s_no, s in enumerate(parts)]
-    ready: list = []
-    heapq.heapify(waiting)
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, no, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * period // parts[s]), no, s, j))
-        if not ready:
-            continue
-        _, no, s, j = heapq.heappop(ready)
-        slots[s].append(slot)
-        if j < parts[s]:
-            heapq.heappush(waiting, (j * period // parts[s], no, s, j + 1))
-    return slots
+def exact_parts(weights: dict) -> dict:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    return {s: x.numerator * (scale // x.denominator) for s, x in exact.items()}
 
 
 @dataclass(frozen=True)
-class Phase:
-    start: int
-    period: int
-    parts: dict
-    slots: dict
-    #: Blocks of each source that earlier phases took.
-    done: dict
-
-    def slot_of(self, source, j: np.ndarray) -> np.ndarray:
-        """Slots of the blocks with these numbers from 1, counted from the phase's beginning."""
-        n = self.parts[source]
-        return self.start + (j - 1) // n * self.period + np.asarray(self.slots[source])[(j - 1) % n]
-
-    def taken(self, source, end: int) -> int:
-        """Blocks of a source before slot ``end``."""
-        whole, rest = divmod(end - self.start, self.period)
-        return whole * self.parts[source] + int(np.searchsorted(self.slots[source], rest))
-
-
-def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[Phase]:
-    """The phases that place ``blocks[s]`` blocks of every source."""
-    left, done, start, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while active := {s: weights[s] for s in left if left[s] > 0}:
-        parts = whole_parts(active, period)
-        phase = Phase(start, period, parts, one_period(parts, period), dict(done))
-        out.append(phase)
-        end = min(int(phase.slot_of(s, np.array([left[s]]))[0]) for s in active) + 1
-        for s in active:
-            n = min(left[s], phase.taken(s, end))
-            left[s] -= n
-            done[s] += n
-        start = end
-    return out
+class Placed:
+    """Where the blocks of one source go."""
+
+    slots: np.ndarray
+    #: The phases in which the source has blocks, the first of them in each, and the source's part and the sum of all parts.
+    phases: np.ndarray
+    firsts: np.ndarray
+    parts: list[tuple[int, int]]
+
+    def at(self, block: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+        """phase, release, deadline and slot of the blocks with these numbers from 0."""
+        which = np.searchsorted(self.firsts, block, "right") - 1
+        release, deadline = [], []
+        for k, i in zip(which.tolist(), (block - self.firsts[which]).tolist()):
+            part, total = self.parts[k]
+            release.append(i * total // part)
+            deadline.append(-(-(i + 1) * total // part))
+        phase = self.phases[which]
+        start = starts[phase]
+        return {"phase": phase, "release": start + np.array(release, np.int64), "deadline": start + np.array(deadline, np.int64), "slot": self.slots[block]}
+
+
+def schedule(blocks: dict, weights: dict, period: int | None = None) -> tuple[dict, np.ndarray]:
+    """Every source's places for ``blocks[s]`` blocks, and the slots at which the phases start.
+
+    By earliest deadline among released blocks; of equal deadlines the source that ``blocks`` names first.
+    """
+    names = [s for s in blocks if blocks[s] > 0]
+    left, slots = [blocks[s] for s in names], [array("q") for _ in names]
+    phases, firsts, parts = ([[] for _ in names] for _ in range(3))
+    exact = list(exact_parts({s: weights[s] for s in names}).values()) if names else []
+    active, starts, slot = list(range(len(names))), [], 0
+    while active:
+        if period:
+            rounded = whole_parts({names[k]: weights[names[k]] for k in active}, period)
+            part = {k: rounded[names[k]] for k in active}
+        else:
+            part = {k: exact[k] for k in active}
+        total, start, phase = sum(part.values()), slot, len(starts)
+        starts.append(start)
+        done = dict.fromkeys(active, 0)
+        ready = [(-(-total // part[k]), k) for k in active]
+        waiting: list = []
+        heapq.heapify(ready)
+        while True:
+            while waiting and waiting[0][0] <= slot - start:
+                k = heapq.heappop(waiting)[1]
+                heapq.heappush(ready, (-(-(done[k] + 1) * total // part[k]), k))
+            # Parts add up to the total, so a block is always ready.
+            k = heapq.heappop(ready)[1]
+            if not done[k]:
+                phases[k].append(phase), firsts[k].append(len(slots[k])), parts[k].append((part[k], total))
+            slots[k].append(slot)
+            slot += 1
+            done[k] += 1
+            left[k] -= 1
+            if not left[k]:
+                break
+            heapq.heappush(waiting, (done[k] * total // part[k], k))
+        active.remove(k)
+    whole = [np.array(x, np.int64) for x in slots]
+    return {s: Placed(whole[k], np.array(phases[k], np.int64), np.array(firsts[k], np.int64), parts[k]) for k, s in enumerate(names)}, np.array(starts, np.int64)
 
 
 def tempered(counts: dict, exponent: float = 0.7) -> dict:
@@ -118,20 +137,21 @@ def tempered(counts: dict, exponent: float = 0.7) -> dict:
     return {s: n**exponent for s, n in counts.items()}
 
 
-def mixed(documents: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mixed(documents: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int | None = None) -> DataFrame:
     """The documents with block, phase, release, deadline, slot and position.
 
     ``position`` orders the mix; release and deadline are slots of the block's phase.
     ``weights`` maps every source to a positive number; by default ``tempered`` sizes.
+    ``period`` rounds the weights to whole parts of that many slots; no more sources than that are taken then.
     """
     key = F.col("source")
-    counts = {r["source"]: r["count"] for r in documents.groupBy("source").count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > min(MOST_SOURCES, period):
-        raise ValueError(f"more than {min(MOST_SOURCES, period)} sources")
+    counts = {r["source"]: r["count"] for r in documents.groupBy("source").count().collect()}
+    if period and len(counts) > period:
+        raise ValueError(f"more than {period} sources")
     weights = tempered(counts) if weights is None else weights
     if absent := [s for s in counts if not weights.get(s, 0) > 0]:
         raise ValueError(f"no positive weight for {absent}")
-    plan = phases({s: -(-n // block) for s, n in counts.items()}, weights, period)
+    plan, starts = schedule({s: -(-n // block) for s, n in counts.items()}, weights, period)
 
     bins = max(1, -(-sum(counts.values()) // BIN_ROWS))
     kept = documents.drop(*RESULTS)
@@ -153,17 +173,9 @@ def mixed(documents: DataFrame, weights: dict | None = None, block: int = BLOCK,
             out[name] = np.int64(0)
         for s, rows in out.groupby(source.to_numpy(), dropna=False).indices.items():
             s = None if s is None or s != s else s
-            j = out["block"].to_numpy()[rows] + 1
-            ends = np.array([p.done.get(s, 0) for p in plan])
-            which = np.searchsorted(ends, j, "left") - 1
-            for p in np.unique(which).tolist():
-                some, phase = rows[which == p], plan[p]
-                i = j[which == p] - phase.done[s]
-                n = phase.parts[s]
-                out.loc[some, "phase"] = p
-                out.loc[some, "release"] = phase.start + (i - 1) * phase.period // n
-                out.loc[some, "deadline"] = phase.start - (-i * phase.period // n)
-                out.loc[some, "slot"] = phase.slot_of(s, i)
+            blocks, which = np.unique(out["block"].to_numpy()[rows], return_inverse=True)
+            for name, values in plan[s].at(blocks, starts).items():
+                out.loc[rows, name] = values[which]
         return out
 
     placed = ranked.withColumn("__rank", rank).withColumn("__at", place(key, F.floor(F.col("__rank") / block)))
