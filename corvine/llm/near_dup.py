@@ -28,8 +28,9 @@ cost no more than the current step.
 Defined results: null or empty texts, and those without words, have an empty set, are
 linked with nothing and are their own component; a text shorter than a shingle has its
 whole word sequence as one; rows that repeat a doc_id are judged each by its text;
-a null doc_id has the smallest other doc_id of its component as component, if any, and is
-not kept. Columns other than doc_id and text are carried by ``deduplicated``.
+a null doc_id has the smallest other doc_id of its component as component, if any; the
+query does not mark it as kept, ``deduplicated`` keeps one row of each component, a null
+doc_id where there is no other. Columns other than doc_id and text are carried by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -349,9 +350,19 @@ def classified(documents: DataFrame) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the row with the smallest doc_id, once."""
-    kept = classified(documents).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return documents.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay: of each component one row, that with the smallest doc_id.
+
+    Null doc_ids come last; among equal ones a digest of the row decides. Every row is judged
+    by its own text, whatever other rows share its doc_id. Rows without words all stay, but
+    rows alike in every column count once.
+    """
+    text, others = F.col("text"), [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    row = F.concat(F.to_json(F.struct(text.isNull().alias("null"), F.struct(F.lit(0), *others).alias("others"))), F.coalesce(text, F.lit("")))
+    # Names rows by content, in the order of preference: a component's least name is the row to keep.
+    name = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.unhex(F.sha2(row, 256)).alias("row"))
+    kept = classified(documents.select(name.alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    named = documents.withColumn("__name", name)
+    return named.join(kept, F.col("__name") == F.col("__kept"), "left_semi").dropDuplicates(["__name"]).drop("__name")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -86,6 +86,37 @@ def test_near_duplicates(spark, odd, plain):
     assert got == near_brute(plain)
 
 
+def test_deduplicated_keeps_one_row_of_each_component(spark, odd, plain):
+    def words(a, n=60):
+        return " ".join(f"{a}{i}" for i in range(n))
+
+    # Null ids linked with nothing, only with each other, and with an id; one id with a clean text and a near copy of a smaller id.
+    more = [(None, words("lone")), (None, words("pair")), (None, words("pair") + " end"), (None, words("both")), (50_001, words("both") + " end"),
+            (50_002, words("first")), (50_003, words("first") + " end"), (50_003, words("clean")), (50_003, words("clean"))]
+    frame = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    rows = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
+    kept = near_dup.deduplicated(frame)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == frame.columns
+    assert all(got[r] == 1 for r in [more[0], more[4], more[5], more[7]]) and got[more[3]] == got[more[6]] == 0 and got[more[1]] + got[more[2]] == 1
+
+    # Each row's component by brute force; the best (doc_id, nulls last) of each stays once.
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in ((t or "").lower().split() for _, t in rows)]
+    parts = near_dup.Parts(len(rows))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                parts.join(i, j)
+    groups = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[parts.root(i) if sets[i] else r].append(r)
+    assert sum(got.values()) == len(groups)
+    for members in groups.values():
+        best = min((d is None, d or 0) for d, _ in members)
+        assert sum(got[r] > 0 for r in set(members) if (r[0] is None, r[0] or 0) == best) == 1
+    assert collections.Counter((r["doc_id"], r["text"]) for r in near_dup.deduplicated(frame.repartition(7)).collect()) == got
+
+
 def test_near_duplicates_through_blocks_and_branches(spark, monkeypatch):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
