@@ -131,6 +131,14 @@ def trigram_stats(spark, sf_dir):
     return trigram.postings(every).groupBy("trigram").agg(F.count("*").alias("lines"))
 
 
+@registered(f"""WITH {_LINES}, hexed AS (SELECT file_id, line_no, hex(encode(line)) AS h FROM lines WHERE strlen(line) >= 3),
+grams AS (SELECT DISTINCT file_id, line_no, h[i:i + 5] AS g FROM (SELECT *, unnest(range(1, len(h) - 4, 2)) AS i FROM hexed))
+SELECT ('0x' || g)::INT AS trigram, count(*) AS lines FROM grams GROUP BY 1""")
+def trigram_stats_bytes(spark, sf_dir):
+    """trigram_stats over all lines, those with characters of several bytes too."""
+    return trigram.postings(lines(corpus(spark, sf_dir))).groupBy("trigram").agg(F.count("*").alias("lines"))
+
+
 @registered(f"WITH {_LINES} SELECT path, line_no FROM lines WHERE regexp_matches(line, 'ingent?h[a-z]*tion')")
 def regex_index_search(spark, sf_dir):
     every = lines(corpus(spark, sf_dir))

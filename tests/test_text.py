@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import languages, patterns
 from corvine.operators import comments, results, trigram
+from corvine.plans import registry
 from corvine.sources import corpus
 
 
@@ -136,3 +137,15 @@ def test_walk_honours_ignore_rules(spark, tmp_path):
     (tmp_path / "bad.rs").write_bytes(b"\xff\xfe")
     assert corpus.walk(tmp_path) == ["a.py", "bad.rs", "keep/c.rs"]
     assert [r["path"] for r in corpus.from_directory(spark, str(tmp_path)).orderBy("path").collect()] == ["a.py", "keep/c.rs"]
+
+
+def test_trigram_counts_cover_lines_of_multibyte_text(spark, tmp_path):
+    texts = ["plain line\nnaïve café\n你好", "naïve\r\nab\n", "🙂🙂", None]
+    spark.createDataFrame([(i, t, "en", "src0") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for t in texts:
+        for line in (t or "").replace("\r\n", "\n").split("\n"):
+            data = line.encode()
+            for g in {int.from_bytes(data[i : i + 3], "big") for i in range(len(data) - 2)}:
+                want[g] = want.get(g, 0) + 1
+    assert {r["trigram"]: r["lines"] for r in registry.trigram_stats_bytes(spark, str(tmp_path)).collect()} == want
