@@ -4,7 +4,9 @@
 all that the stage before kept, and is written as Parquet before the next one reads it.
 All stages but the last return the columns of ``documents``.
 
-Rejected: by language ID, texts that are null or have no letter; by near-dedup, all but
+Rejected: by language ID, texts that are null or have no letter, and those whose likeliest
+language has a probability below ``LEAST_SCORE`` (with no labelled rows no language is
+learned, and all texts with a letter pass); by near-dedup, all but
 the smallest doc_id of each group; by decontamination, documents of which more than half
 is benchmark text (from others the passages are cut). Secrets are masked, never a
 reason to drop a document. Mixing keeps every row and adds its place.
@@ -19,9 +21,15 @@ from corvine.llm import decontaminate, language_id, mixing, near_dup, secret_sca
 from corvine.llm.common import shared_dir, table, written
 
 
+#: Below it the other languages together are likelier than the predicted one.
+LEAST_SCORE = 0.5
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs)
-    return language_id.predicted(docs, model).filter(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return language_id.predicted(docs, model).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_operators import near_brute
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +28,14 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert seen["secret_scan"].filter("text LIKE '%[SECRET]%'").count() > 0
     assert seen["secret_scan"].filter("n_chars <> char_length(text)").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "mixing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_language_id_rejects_by_score_and_passes_what_it_cannot_judge(spark, monkeypatch):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    odd = spark.createDataFrame([(1, "é"), (2, "12 .. 3"), (3, None)], "doc_id long, text string")
+    frame = documents.unionByName(odd, allowMissingColumns=True)
+    unlabelled = corpus_pipeline.identify_language(spark, frame.withColumn("lang", F.lit(None).cast("string")), SF)
+    assert unlabelled.columns == frame.columns and unlabelled.count() == 51
+    # The same text under two labels: neither language is likelier than the other.
+    even = spark.createDataFrame([(i, "one two three", lang) for i, lang in enumerate(["de", "en", "es"])], "doc_id long, text string, lang string")
+    assert corpus_pipeline.identify_language(spark, even, SF).count() == 0
