@@ -102,6 +102,50 @@ def text_slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, list
         first = last
 
 
+#: Bytes of text in a chunk; a longer text is one alone.
+CHUNK = 2 << 20
+
+
+def chunks_of(documents: DataFrame) -> DataFrame:
+    """chunk (a random id), size (bytes of the column text) and data: rows of all columns as a compressed Arrow stream.
+
+    To be written before use, so that ids stay. A chunk's rows keep their order, so that
+    answers on them need no key of a document.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            ends, first = np.cumsum(lengths), 0
+            while first < batch.num_rows:
+                before = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(first, last - first))
+                ids, sizes = [uuid.uuid4().int >> 65], [int(ends[last - 1]) - before]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "size", "data"])
+                first = last
+
+    return documents.mapInArrow(pack, "chunk long, size long, data binary")
+
+
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if it has fewer partitions than the session has cores (a table in one file, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def chunk_batch(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def with_answers(chunks: DataFrame, answers: DataFrame, how: str) -> DataFrame:
+    """chunk, data and answers: the rows (kind, bucket, data) for that chunk."""
+    found = answers.groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list(F.struct("kind", "bucket", "data")).alias("answers"))
+    return chunks.select("chunk", "data").join(found, F.col("chunk") == F.col("__chunk"), how).drop("__chunk")
+
+
 def separators(kept) -> np.ndarray:
     """256 flags: true for bytes that end a word."""
     return np.array([not kept(b) for b in range(256)])

@@ -393,10 +393,14 @@ def test_secrets(spark, odd, plain):
     assert secret_scan.report(frame.limit(0), model).count() == 0
 
 
-def test_repeats(spark, odd):
+@pytest.mark.parametrize("hot, segment", [(repeats.HOT, repeats.SEGMENT), (2, 1500)])
+def test_repeats(spark, odd, monkeypatch, hot, segment):
+    """Against a count of every string; also with strings of frequent keys counted one by one, and texts parsed in short segments."""
+    monkeypatch.setattr(repeats, "SEGMENT", segment)
     rng = random.Random(1)
     rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
-    rows += [(30_000 + i, t) for i, t in enumerate(["a" * 450, "b" * 199, "b" * 200, "c" * 201, "xy" * 300, "é" * 150, "é" * 99 + "ö" + "é" * 100])]
+    rows += [(30_000 + i, t) for i, t in enumerate(["a" * 450, "b" * 199, "b" * 200, "c" * 201, "xy" * 300, "é" * 150, "é" * 99 + "ö" + "é" * 100, "z" + "a" * 200 + "z", "--=" * 200 + "a" * 300, "=--" * 67, "".join("ab"[bin(i).count("1") % 2] for i in range(1024))])]
+    rows += [(None, t) for t in ("n" * 30 + rows[0][1][:400], "m" * 50 + rows[0][1][:300])]
     texts = [t for _, t in rows if t and len(t) > 500]
     for k in range(25):
         s = rng.choice(texts)
@@ -404,7 +408,7 @@ def test_repeats(spark, odd):
         noise = ["".join(rng.choice("abcdefgh ij") for _ in range(rng.randrange(300))) for _ in range(2)]
         rows.append((31_000 + k, noise[0] + s[a : a + rng.randrange(150, 400)] + noise[1]))
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_bytes", F.lit("mine"))
-    got = collections.Counter(tuple(r) for r in repeats.deduplicated(frame).select("doc_id", "n_bytes", "n_removed", F.size("removed"), "kept_sha256").collect())
+    got = collections.Counter(tuple(r) for r in repeats.deduplicated(frame, hot=hot).select("doc_id", "n_bytes", "n_removed", F.size("removed"), "kept_sha256").collect())
     raw = [(d, (t or "").encode()) for d, t in rows]
     seen = collections.Counter(b[i : i + 200] for _, b in raw for i in range(len(b) - 199))
     want = collections.Counter()
