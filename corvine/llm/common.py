@@ -130,10 +130,15 @@ def chunks_of(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(pack, "chunk long, size long, data binary")
 
 
-def on_all_cores(df: DataFrame) -> DataFrame:
-    """df, dealt out anew if it has fewer partitions than the session has cores (a table in one file, say)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def stored_chunks(documents: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """``chunks_of`` as a table, and the bytes of text in it; a small one is dealt to all cores, whatever the number of its files."""
+    spark = documents.sparkSession
+    chunks = written(chunks_of(documents), folder, "packed")
+    size, cores = chunks.agg(F.sum("size")).first()[0] or 0, spark.sparkContext.defaultParallelism
+    if size < cores * CHUNK * 16:
+        chunks = written(chunks.repartition(cores, "chunk"), folder, "chunks")
+        dropped(spark, folder, "packed")
+    return chunks, size
 
 
 def chunk_batch(data: bytes) -> pa.RecordBatch:

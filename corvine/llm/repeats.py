@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import chunk_batch, chunks_of, freed, mixed, on_all_cores, raw_texts, shared_dir, table, with_answers, written
+from corvine.llm.common import chunk_batch, freed, mixed, raw_texts, shared_dir, stored_chunks, table, with_answers, written
 
 LENGTH = 200
 #: Bytes of a trigger, and of the text from its start that key it.
@@ -388,8 +388,8 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, hot: int = HOT) ->
     folder = shared_dir(spark)
     base = documents.drop("n_bytes", "n_removed", "removed", "kept_sha256")
     where = base.columns.index("text")
-    chunks = written(chunks_of(base), folder, "chunks")
-    buckets = max(LEAST_BUCKETS, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // PER_BUCKET))
+    chunks, size = stored_chunks(base, folder)
+    buckets = max(LEAST_BUCKETS, -(-size // PER_BUCKET))
 
     def parsed(data: bytes) -> tuple[pa.RecordBatch, Chunk, Dealt]:
         batch = chunk_batch(data)
@@ -411,7 +411,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, hot: int = HOT) ->
     def answered(rows: DataFrame) -> DataFrame:
         return rows.groupBy("kind", "bucket").applyInArrow(answer, ROWS_SQL)
 
-    blocks = written(answered(on_all_cores(chunks.select("chunk", "data")).mapInArrow(name, ROWS_SQL)), folder, "blocks")
+    blocks = written(answered(chunks.select("chunk", "data").mapInArrow(name, ROWS_SQL)), folder, "blocks")
     freed(spark)
 
     def ask(batches):
