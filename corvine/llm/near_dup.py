@@ -89,15 +89,21 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def text_key(text: bytes) -> int:
+    """Tells texts of one doc_id, or of none, apart."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, n, digest, roots (node names) and tokens (16 bits for each coordinate) of every row."""
+    """doc_id, text_key, n, digest, roots (node names) and tokens (16 bits for each coordinate) of every row."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
         for batch in batches:
-            n, digest, roots, tokens = [], [], [], []
+            keys, n, digest, roots, tokens = [], [], [], [], []
             for _, part in text_slices(batch.column("text")):
                 sets = shingle_sets(part)
+                keys += map(text_key, part)
                 n += map(len, sets)
                 full = [s for s in sets if len(s)]
                 found = minwise(full) if full else np.empty((0, COORDINATES), np.uint64)
@@ -111,11 +117,11 @@ def signatures(documents: DataFrame) -> DataFrame:
                     else:
                         digest.append(None), roots.append(None), tokens.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
-                ["doc_id", "n", "digest", "roots", "tokens"],
+                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
+                ["doc_id", "text_key", "n", "digest", "roots", "tokens"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, digest binary, roots array<long>, tokens binary")
+    return documents.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, text_key long, n long, digest binary, roots array<long>, tokens binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -243,10 +249,10 @@ def verified(found: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
         for batch in batches:
             texts = raw_texts(batch.column("text"))
             data = [pa.compress(t, codec="zstd", asbytes=True) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(data, pa.binary())], ["doc_id", "size", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(text_key, texts), pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(data, pa.binary())], ["doc_id", "text_key", "size", "data"])
 
-    texts = documents.select("doc_id", "text").mapInArrow(squeeze, f"doc_id {kind}, size long, data binary")
-    wanted = found.join(classes.select("digest", "rep"), "digest")
+    texts = documents.select("doc_id", "text").mapInArrow(squeeze, f"doc_id {kind}, text_key long, size long, data binary")
+    wanted = found.join(classes.select("digest", "place.*"), "digest")
 
     def decide(batches):
         for whole, at in groups(batches, "cluster"):
@@ -265,7 +271,8 @@ def verified(found: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
                     left.append(order[i]), right.append(order[j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    dealt = wanted.join(texts, wanted["rep"].eqNullSafe(texts["doc_id"])).select("cluster", "digest", "size", "data").repartition("cluster").sortWithinPartitions("cluster")
+    at_place = wanted["doc_id"].eqNullSafe(texts["doc_id"]) & (wanted["text_key"] == texts["text_key"])
+    dealt = wanted.join(texts, at_place).select("cluster", "digest", "size", "data").repartition("cluster").sortWithinPartitions("cluster")
     return dealt.mapInArrow(decide, "a binary, b binary").distinct()
 
 
@@ -334,7 +341,7 @@ def classified(documents: DataFrame) -> DataFrame:
     folder = shared_dir(spark)
     signed = written(signatures(documents), folder, "signed")
     classes = written(
-        signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "roots", "tokens")]),
+        signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_key")).alias("place"), *[F.first(c).alias(c) for c in ("n", "roots", "tokens")]),
         folder, "classes",
     )
     found = written(clusters(leaves_of(classes, folder)), folder, "clusters")
