@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.common import mixed, raw_texts, table, text_slices
@@ -34,6 +34,11 @@ GEAR = (mixed(np.arange(256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)) >
 GEAR[0] = 0
 
 
+def text_key() -> Column:
+    """Tells texts of one doc_id, or of none, apart."""
+    return F.xxhash64("text")
+
+
 def gear_hashes(data: np.ndarray) -> np.ndarray:
     """At each byte, the gear hash of it and the 31 bytes before: h = (h << 1) + GEAR[byte] on 32 bits."""
     h = GEAR.take(data)
@@ -78,22 +83,23 @@ def chunked(documents: DataFrame, smallest: int = SMALLEST, largest: int = LARGE
 
     def chunk(batches):
         for batch in batches:
-            owner, keys, first, second, starts, sizes = [], [], [], [], [], []
+            owner, first, starts, sizes = [], [], [], []
             for at, part in text_slices(batch.column("text")):
                 for i, (text, ends) in enumerate(zip(part, cuts(part, smallest, largest, bits))):
-                    start, key = 0, xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                    start = 0
                     for end in ends:
                         d = xxhash.xxh3_128_digest(text[start:end])
-                        owner.append(at + i), keys.append(key), starts.append(start), sizes.append(end - start)
+                        owner.append(at + i), starts.append(start), sizes.append(end - start)
                         first.append(d)
                         start = end
             both = np.frombuffer(b"".join(first), np.int64).reshape(-1, 2)
+            owner = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(keys, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())],
+                [batch.column("doc_id").take(owner), batch.column("text_key").take(owner), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())],
                 ["doc_id", "text_key", "d1", "d2", "start", "size"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(chunk, f"doc_id {kind}, text_key long, d1 long, d2 long, start long, size long")
+    return documents.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(chunk, f"doc_id {kind}, text_key long, d1 long, d2 long, start long, size long")
 
 
 def shared(chunks: DataFrame) -> DataFrame:
@@ -115,28 +121,25 @@ def deduplicated(documents: DataFrame, smallest: int = SMALLEST, largest: int =
         .groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
         .agg(F.sum("size").alias("__shared"), F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct("start", "size")))).alias("__spans"))
     )
-    per_doc = spans.groupBy("__doc").agg(F.collect_list(F.struct("__key", "__shared", "__spans")).alias("__found"))
     base = documents.drop("n_bytes", "n_shared", "n_removed", "removed", "kept_sha256")
-    joined = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
-    where, found_at = joined.columns.index("text"), len(joined.columns) - 1
+    joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("__doc")) & (text_key() == F.col("__key")), "left").drop("__doc", "__key")
+    where, found_at = joined.columns.index("text"), len(base.columns)
     fields = pa.schema([("n_bytes", pa.int64()), ("n_shared", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
 
     def remove(batches):
         for batch in batches:
-            texts, found = raw_texts(batch.column(where)), batch.column(found_at).to_pylist()
+            texts, shared_bytes, found = raw_texts(batch.column(where)), batch.column(found_at).to_pylist(), batch.column(found_at + 1).to_pylist()
             valid = batch.column(where).is_valid().to_pylist()
             kept, rows = [], []
-            for text, ok, hits in zip(texts, valid, found):
-                key = xxhash.xxh3_64_intdigest(text) - (1 << 63) if hits else None
-                own = next((h for h in hits or () if h["__key"] == key), None)
-                removed = [{"start": s["start"], "end": s["start"] + s["size"]} for s in own["__spans"]] if own else []
+            for text, ok, both, spans_ in zip(texts, valid, shared_bytes, found):
+                removed = [{"start": s["start"], "end": s["start"] + s["size"]} for s in spans_ or ()]
                 left, parts = 0, []
                 for r in removed:
                     parts.append(text[left : r["start"]])
                     left = r["end"]
                 out = b"".join([*parts, text[left:]])
                 kept.append(out.decode(errors="replace") if ok else None)
-                rows.append({"n_bytes": len(text), "n_shared": own["__shared"] if own else 0, "n_removed": len(text) - len(out), "removed": removed, "kept_sha256": hashlib.sha256(out).hexdigest()})
+                rows.append({"n_bytes": len(text), "n_shared": both or 0, "n_removed": len(text) - len(out), "removed": removed, "kept_sha256": hashlib.sha256(out).hexdigest()})
             columns = list(batch.columns[:found_at])
             columns[where] = pa.array(kept, columns[where].type)
             more = [pa.array([r[f.name] for r in rows], f.type) for f in fields]
