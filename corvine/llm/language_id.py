@@ -10,10 +10,10 @@ gives the prediction and its probability.
 Fitting uses a sample of the labelled rows of at most about ``per_language`` documents
 for each language (whole texts, chosen by hash of the row); only counts of its distinct
 words reach the driver. Scoring covers every whole text. Words that occur often are
-scored once per worker, in blocks over all words of equal length.
+scored once per worker, in blocks of words of about equal length.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; with no
-labelled rows everything is ``und``; ties go to the language first in order; repeated
+labelled rows everything is ``und``; words of any length are scored over all their segmentations; ties go to the language first in order; repeated
 rows are each predicted; other columns are carried along unread.
 """
 
@@ -34,7 +34,11 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
 #: Words whose scores a worker remembers.
 REMEMBERED = 100_000
-#: Words longer than this are scored in runs of so many bytes, which bounds a block's memory.
+#: Bytes of words that are scored at once; longer ones go on from run to run of so many.
+BLOCK = 256 << 10
+#: Steps between divisions of the masses by their size.
+RESCALE = 16
+#: Words longer than this are learned from in runs of about so many bytes (scored they are whole).
 LONGEST = 64
 
 
@@ -54,7 +58,7 @@ class Pieces:
     """An open-addressing table from the rolling hash of each piece, and of each prefix of one, to the piece's number."""
 
     def __init__(self, pieces: list[bytes]):
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces))
         number = {p: i for i, p in enumerate(pieces)}
         prefixes = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
         self.bits = max(8, (8 * len(prefixes)).bit_length())
@@ -95,46 +99,97 @@ class Pieces:
         hit = np.flatnonzero(hit)
         return hit, at[hit]
 
-    def edges(self, words: np.ndarray) -> Iterable[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(from, to, rows, pieces) of all pieces inside words of one length, by growing ``from``."""
-        n, length = words.shape
-        for a in range(length):
-            rows, key = np.arange(n), np.zeros(n, np.uint64)
-            for b in range(a + 1, length + 1):
-                key = self.step(key, words[rows, b - 1])
-                hit, at = self.find(key)
-                rows, key, ids = rows[hit], key[hit], self.ids[at]
-                if not len(rows):
-                    break
-                whole = ids >= 0
-                if whole.all():
-                    yield a, b, rows, ids
-                elif whole.any():
-                    yield a, b, rows[whole], ids[whole]
 
 
-def matrix(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
-
-
-def forward(pieces: Pieces, p: np.ndarray, words: np.ndarray, edges: list | None = None) -> np.ndarray:
-    """alpha[length + 1, words, languages]: mass of all segmentations of each prefix; p is [pieces, languages]."""
-    alpha = np.zeros((words.shape[1] + 1, len(words), p.shape[1]))
-    alpha[0] = 1
-    for a, b, rows, found in pieces.edges(words) if edges is None else edges:
-        alpha[b][rows] += alpha[a][rows] * p[found]
-    return alpha
+class Lattice:
+    """All pieces inside some words, none of them empty.
 
+    Words stand in order of falling length (``order``). A word of n bytes has n + 1 nodes, from
+    ``first`` on; a piece leads from a node to a later one. Pieces are sorted by how deep in
+    their word they end, then by word, so that one step serves all words at once. Every node
+    has a piece that ends there, since single bytes are pieces.
+    """
 
-def by_length(words: list[bytes]) -> dict[int, list[int]]:
-    groups: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        groups.setdefault(len(w), []).append(i)
-    return groups
+    def __init__(self, pieces: Pieces, words: list[bytes]):
+        self.longest = pieces.longest
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        data = np.frombuffer(b"".join([words[i] for i in self.order.tolist()]), np.uint8)
+        starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
+        self.first = starts + np.arange(len(words))
+        self.nodes = len(data) + len(words)
+        owner = np.repeat(np.arange(len(words)), self.sizes)
+        at, key = np.arange(len(data)), np.zeros(len(data), np.uint64)
+        ends = np.repeat(starts + self.sizes, self.sizes)
+        found = []
+        for k in range(1, pieces.longest + 1):
+            key = pieces.step(key, data[at + k - 1])
+            hit, where = pieces.find(key)
+            at, key, ids = at[hit], key[hit], pieces.ids[where]
+            whole = ids >= 0
+            found.append((at[whole], np.full(int(whole.sum()), k), ids[whole]))
+            more = at + k < ends[at]
+            at, key = at[more], key[more]
+        at, size, piece = (np.concatenate(x) for x in zip(*found))
+        depth, word = at - starts[owner[at]] + size, owner[at]
+        order = np.lexsort((word, depth))
+        depth, word = depth[order], word[order]
+        self.source, self.piece = (at + owner[at])[order], piece[order]
+        self.target = self.source + size[order]
+        self.heads = np.flatnonzero(np.concatenate(([True], (depth[1:] != depth[:-1]) | (word[1:] != word[:-1]))))
+        #: Where the pieces, and the heads, of each depth begin.
+        self.bounds = np.searchsorted(depth, np.arange(self.sizes[0] + 2)).tolist()
+        self.head_bounds = np.searchsorted(self.heads, self.bounds).tolist()
+
+    def forward(self, p: np.ndarray, scaled: bool = True, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Mass of all segmentations up to each node, [node, language], and the logarithm of each word's scale.
+
+        p is [piece, language]. ``scaled`` masses are divided now and then, from the last nodes that
+        a piece can begin at on, by the mass at a node. ``given`` are the masses at the first nodes of a single word.
+        """
+        alpha, logs = np.zeros((self.nodes, p.shape[1])), np.zeros((len(self.sizes), p.shape[1]))
+        alpha[self.first] = 1
+        begin = 1
+        if given is not None:
+            alpha[: len(given)] = given
+            begin = len(given)
+        alive = len(self.sizes)
+        for depth in range(begin, int(self.sizes[0]) + 1):
+            a, b, heads = self.bounds[depth], self.bounds[depth + 1], self.heads[self.head_bounds[depth] : self.head_bounds[depth + 1]]
+            alpha[self.target[heads]] = np.add.reduceat(alpha[self.source[a:b]] * p[self.piece[a:b]], heads - a)
+            if scaled and depth % RESCALE == 0:
+                while self.sizes[alive - 1] < depth:
+                    alive -= 1
+                here = self.first[:alive] + depth
+                by = alpha[here]
+                logs[:alive] += np.log(by)
+                for back in range(min(self.longest, depth + 1)):
+                    alpha[here - back] /= by
+        return alpha, logs
+
+
+def by_size(words: list[bytes], size: int) -> Iterable[list[int]]:
+    """Indices of words of about one length, in runs of about ``size`` bytes."""
+    some, held = [], 0
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if some and held + len(words[i]) > size:
+            yield some
+            some, held = [], 0
+        some.append(i)
+        held += len(words[i])
+    if some:
+        yield some
 
 
 def parts(word: bytes) -> list[bytes]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+    """A word cut into runs of whole characters of about ``LONGEST`` bytes."""
+    cuts = [0]
+    for at in range(LONGEST, len(word), LONGEST):
+        while at < len(word) and word[at] & 0xC0 == 0x80:
+            at += 1
+        cuts.append(at)
+    return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)]) if a < b]
 
 
 class Model:
@@ -144,18 +199,26 @@ class Model:
     def log_words(self, words: list[bytes]) -> np.ndarray:
         """Log-probability of each word (with its leading space) in each language."""
         out = np.zeros((len(words), len(self.languages)))
-        flat, owner = [], []
-        for i, w in enumerate(words):
-            for part in parts(w):
-                flat.append(part), owner.append(i)
-        owner = np.array(owner, np.int64)
-        for group in by_length(flat).values():
-            for at in range(0, len(group), 20_000):
-                some = group[at : at + 20_000]
-                mass = forward(self.pieces, self.p, matrix([flat[i] for i in some]))[-1]
-                np.add.at(out, owner[some], np.log(np.maximum(mass, 1e-300)))
+        short = [i for i, w in enumerate(words) if len(w) <= BLOCK]
+        for some in by_size([words[i] for i in short], BLOCK):
+            lattice = Lattice(self.pieces, [words[short[i]] for i in some])
+            alpha, logs = lattice.forward(self.p)
+            out[[short[some[i]] for i in lattice.order.tolist()]] = np.log(alpha[lattice.first + lattice.sizes]) + logs
+        for i, word in enumerate(words):
+            if len(word) > BLOCK:
+                out[i] = self._log_long(word)
         return out
 
+    def _log_long(self, word: bytes) -> np.ndarray:
+        """A word in runs of BLOCK bytes; the masses at the last nodes of a run are the first of the next."""
+        state, total = np.ones((1, len(self.languages))), 0.0
+        for at in range(0, len(word), BLOCK):
+            back = min(self.pieces.longest - 1, at)
+            alpha, logs = Lattice(self.pieces, [word[at - back : at + BLOCK]]).forward(self.p, given=state[len(state) - back - 1 :])
+            by = alpha[-1].copy()
+            state, total = alpha[-self.pieces.longest :] / by, total + logs[0] + np.log(by)
+        return total
+
 
 def fit(pieces: list[bytes], counts: dict[str, dict[bytes, int]], documents: dict[str, int], rounds: int = 3, smoothing: float = 0.1) -> Model:
     """Expectation-maximisation over word counts per language.
@@ -174,20 +237,24 @@ def fit(pieces: list[bytes], counts: dict[str, dict[bytes, int]], documents: dic
             for part in parts(word):
                 weights.setdefault(part, np.zeros(len(languages)))[k] += n
     words = list(weights)
-    groups = [(matrix([words[i] for i in g]), np.array([weights[words[i]] for i in g])) for g in by_length(words).values()]
+    groups = []
+    for some in by_size(words, BLOCK):
+        lattice = Lattice(table_, [words[i] for i in some])
+        groups.append((lattice, np.array([weights[words[some[i]]] for i in lattice.order.tolist()])))
     for _ in range(rounds if words else 0):
         expected = np.full(p.shape, smoothing)
-        for block, weight in groups:
-            edges = list(table_.edges(block))
-            alpha = forward(table_, p, block, edges)
+        for lattice, weight in groups:
+            alpha, _ = lattice.forward(p, scaled=False)
             beta = np.zeros_like(alpha)
-            beta[-1] = weight / np.maximum(alpha[-1], 1e-300)
-            for a, b, rows, found in reversed(edges):
-                beta[a][rows] += beta[b][rows] * p[found]
-            for a, b, rows, found in edges:
-                gain = alpha[a][rows] * p[found] * beta[b][rows]
-                for k in range(p.shape[1]):
-                    expected[:, k] += np.bincount(found, gain[:, k], len(p))
+            last = lattice.first + lattice.sizes
+            beta[last] = weight / np.maximum(alpha[last], 1e-300)
+            for depth in range(int(lattice.sizes[0]), 0, -1):
+                # Within a depth no two pieces begin at one node.
+                some = slice(lattice.bounds[depth], lattice.bounds[depth + 1])
+                beta[lattice.source[some]] += p[lattice.piece[some]] * beta[lattice.target[some]]
+            gain = alpha[lattice.source] * p[lattice.piece] * beta[lattice.target]
+            for k in range(p.shape[1]):
+                expected[:, k] += np.bincount(lattice.piece, gain[:, k], len(p))
         p = expected / expected.sum(0)
     total = sum(documents.values()) or 1
     prior = np.log([max(documents.get(x, 0), 1) / total for x in languages]) if languages else np.zeros(0)
