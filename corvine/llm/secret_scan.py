@@ -48,24 +48,32 @@ LEAST_VALUE = 12
 THRESHOLD = 12.0
 GENERATED = 400
 MASK = "[SECRET]"
+#: Beyond every offset; characters of the blocks that a text is cut into for redaction.
+FAR, BLOCK = f"{1 << 60}L", 4096
 
 
 def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def running(lengths: str, block: int = 256) -> str:
-    """SQL for the running sums of an array of bigint, in two levels so that long arrays stay cheap."""
+def running(values: str, combine: str = "{0} + {1}", start: str = "0L", block: int = 256) -> str:
+    """SQL for the running sums of an array of bigint (or what ``combine`` makes of two), in two levels so that long arrays stay cheap."""
     none = "CAST(array() AS array<bigint>)"
-    inside = f"aggregate(p, named_struct('t', s.t, 'o', {none}), (u, x) -> named_struct('t', u.t + x, 'o', concat(u.o, array(u.t + x))))"
+    sum_ = combine.format("u.t", "x")
+    inside = f"aggregate(p, named_struct('t', s.t, 'o', {none}), (u, x) -> named_struct('t', {sum_}, 'o', concat(u.o, array({sum_}))))"
     return f"""
       flatten(aggregate(
-        transform(sequence(0, greatest(0, CAST(ceil(size({lengths}) / {block}D) AS INT) - 1)), c -> slice({lengths}, c * {block} + 1, {block})),
-        named_struct('t', 0L, 'out', CAST(array() AS array<array<bigint>>)),
+        transform(sequence(0, greatest(0, CAST(ceil(size({values}) / {block}D) AS INT) - 1)), c -> slice({values}, c * {block} + 1, {block})),
+        named_struct('t', {start}, 'out', CAST(array() AS array<array<bigint>>)),
         (s, p) -> get(transform(array({inside}), q -> named_struct('t', q.t, 'out', concat(s.out, array(q.o)))), 0),
         s -> s.out))"""
 
 
+def neighbours(text: str, of: str) -> str:
+    """SQL for an array of ``of``, in terms of a and b, over the characters of a text and their successors, in time linear in its length."""
+    return f"get(transform(array(split({text}, '')), c -> zip_with(slice(c, 1, char_length({text}) - 1), slice(c, 2, char_length({text}) - 1), (a, b) -> {of})), 0)"
+
+
 def _lists(kind: str) -> list[Column]:
     """Per kind: lengths of what lies before each match and of the match, in turn; and the tested lengths or the tokens."""
     p, test = literal(SEARCH[kind]), f"text RLIKE {literal(NEEDED[kind])}"
@@ -81,7 +89,7 @@ def _lists(kind: str) -> list[Column]:
 
 def counts_of(samples: DataFrame) -> dict[int, dict[tuple[int, int], int]]:
     """Character bigrams of (token, label) rows, by label; characters outside 32..126 do not count."""
-    pairs = samples.filter("char_length(token) >= 2").select("label", F.explode(F.expr("transform(sequence(1, char_length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
+    pairs = samples.filter("char_length(token) >= 2").select("label", F.explode(F.expr(neighbours("token", "concat(a, b)"))).alias("pair"))
     counts: dict[int, dict[tuple[int, int], int]] = {0: {}, 1: {}}
     rows = pairs.filter(r"pair RLIKE '^[\\x20-\\x7E]{2}$'").groupBy("label", "pair").count()
     for label, pair, n in rows.collect():  # at most 2 x 95 x 95 rows
@@ -123,21 +131,13 @@ def scanned(documents: DataFrame, table_: list[float], threshold: float = THRESH
     rows = base.select(*own, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keep = [f"c{i}" for i in range(len(own))]
     listed = rows.select(*keep, *[c for k in KINDS for c in _lists(k)])
-    weights = F.from_json(F.lit(json.dumps(table_)), "array<double>")
+    weights = f"from_json('{json.dumps(table_)}', 'array<double>')"
     summed = listed.select(
         *keep, "assign_score", "tokens",
         *[F.expr(f"if(size({k}_lengths) = 0, CAST(array() AS array<bigint>), {running(f'{k}_lengths')})").alias(f"{k}_at") for k in KINDS],
     )
-    scored = summed.withColumn(
-        "random_score",
-        F.transform(
-            "tokens",
-            lambda t: F.aggregate(
-                F.sequence(F.lit(1), F.char_length(t) - 1), F.lit(0.0),
-                lambda s, i: s + F.get(weights, (F.ascii(F.substring(t, i, 1)) - 32) * 96 + F.ascii(F.substring(t, i + 1, 1)) - 32),
-            ),
-        ),
-    )
+    ratio = f"get({weights}, (ascii(a) - 32) * 96 + ascii(b) - 32)"
+    scored = summed.withColumn("random_score", F.expr(f"transform(tokens, t -> aggregate({neighbours('t', ratio)}, 0D, (s, x) -> s + x))"))
 
     def spans(no: int, kind: str, keeps: str) -> str:
         at = f"{kind}_at"
@@ -149,7 +149,13 @@ def scanned(documents: DataFrame, table_: list[float], threshold: float = THRESH
         F.expr(f"concat({spans(0, 'assign', f'assign_score[x.i] >= {LEAST_VALUE}')}, {spans(1, 'access', 'true')}, {spans(2, 'hex', 'true')})").alias("base"),
         F.expr(spans(3, "random", f"random_score[x.i] >= {threshold!r}D")).alias("more"),
     )
-    both = fixed.withColumn("secret_spans", fenced(F.expr("array_sort(concat(base, filter(more, m -> NOT exists(base, b -> b.start < m.end AND b.end > m.start))))")))
+    # By start: how far patterns reach up to each span, and where the next pattern's span starts.
+    both = fixed.select(*keep, "more", F.expr("array_sort(concat(base, more))").alias("both"))
+    both = both.withColumn("ends", F.expr("transform(both, x -> if(x.kind < 3, x.end, 0L))")).withColumn("starts", F.expr(f"transform(reverse(both), x -> if(x.kind < 3, x.start, {FAR}))"))
+    # Fenced, since a column that a lambda names once is else put into it, to be computed for each element.
+    both = both.withColumn("reach", fenced(F.expr(f"if(size(more) = 0, NULL, {running('ends', 'greatest({0}, {1})')})")))
+    both = both.withColumn("ahead", fenced(F.expr(f"if(size(more) = 0, NULL, reverse({running('starts', 'least({0}, {1})', FAR)}))")))
+    both = both.withColumn("secret_spans", fenced(F.expr("if(size(more) = 0, both, filter(both, (x, i) -> x.kind < 3 OR (reach[i] <= x.start AND ahead[i] >= x.end)))")))
     return both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(base.columns)], "secret_spans")
 
 
@@ -168,13 +174,19 @@ def report(documents: DataFrame, table_: list[float]) -> DataFrame:
 def redacted(documents: DataFrame, table_: list[float]) -> DataFrame:
     """The documents with every span replaced by MASK; ``n_chars``, if there, is counted anew for changed texts."""
     found = scanned(documents, table_)
-    text = F.expr(f"""
-      if(size(secret_spans) = 0, text, aggregate(secret_spans, named_struct('at', 0L, 'out', ''),
-        (s, x) -> if(x.start >= s.at, named_struct('at', x.end, 'out', concat(s.out, substring(text, CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), '{MASK}')),
-                     named_struct('at', greatest(s.at, x.end), 'out', s.out)),
-        s -> concat(s.out, substring(text, CAST(s.at + 1 AS INT)))))""")
-    changed = {"__text": text}
-    out = found.withColumns(changed)
+    # What lies between runs of overlapping spans, from blocks of the text: no piece is looked for from the text's start.
+    def within(a: str, b: str) -> str:
+        head = f"substring(__blocks[CAST({a} / {BLOCK} AS INT)], CAST({a} % {BLOCK} + 1 AS INT), CAST(least({b} - {a}, {BLOCK}) AS INT))"
+        middle = f"array_join(slice(__blocks, CAST({a} / {BLOCK} AS INT) + 2, greatest(0, CAST({b} / {BLOCK} AS INT) - CAST({a} / {BLOCK} AS INT) - 1)), '')"
+        tail = f"if(CAST({b} / {BLOCK} AS INT) > CAST({a} / {BLOCK} AS INT), substring(get(__blocks, CAST({b} / {BLOCK} AS INT)), 1, CAST({b} % {BLOCK} AS INT)), '')"
+        return f"if({a} >= {b}, '', concat({head}, {middle}, coalesce({tail}, '')))"
+
+    cut = found.withColumn("__ends", F.expr("secret_spans.end"))
+    cut = cut.withColumn("__reach", fenced(F.expr(f"if(size(secret_spans) = 0, NULL, concat(array(0L), {running('__ends', 'greatest({0}, {1})')}))")))
+    cut = cut.withColumn("__blocks", fenced(F.expr(f"if(size(secret_spans) = 0, NULL, regexp_extract_all(text, '(?s).{{1,{BLOCK}}}', 0))")))
+    gaps = "filter(transform(secret_spans, (x, i) -> named_struct('a', __reach[i], 'b', x.start)), g -> g.b >= g.a)"
+    last = "named_struct('a', element_at(__reach, -1), 'b', CAST(char_length(text) AS bigint))"
+    out = cut.withColumn("__text", F.expr(f"if(size(secret_spans) = 0, text, array_join(transform(concat({gaps}, array({last})), g -> {within('g.a', 'g.b')}), '{MASK}'))"))
     chars = F.when(F.size("secret_spans") == 0, F.col("n_chars")).otherwise(F.char_length("__text").cast(documents.schema["n_chars"].dataType)).alias("n_chars") if "n_chars" in documents.columns else None
     return out.select(*[F.col("__text").alias("text") if c == "text" else chars if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns])
 

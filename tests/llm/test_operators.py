@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -237,6 +239,25 @@ def test_quality_counts(spark, odd, plain):
     assert not quality_rules.judged(odd).filter("kept IS NULL OR base_failed IS NULL").count() and quality_rules.judged(odd.limit(0)).count() == 0
 
 
+def test_quality_counts_of_very_many_distinct_words(spark):
+    frame = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 2000000), i -> conv(i, 10, 36)), ' ')").alias("text"))
+    rows = frame.union(frame.select("doc_id", F.expr("concat(text, ' A B C x A B C')")))
+    assert [tuple(r) for r in quality_rules.judged(rows).select("n_words", "n_repeat_words").collect()] == [(2_000_000, 0), (2_000_007, 9)]
+
+
+def morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_unlike_long_words_stay_apart(spark):
+    """A polynomial modulo a power of two gives these two the same hash."""
+    one = morse(1024)
+    two = one.translate({97: 98, 98: 97})
+    frame = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.classified(frame).collect()} == {1: 1, 2: 2, 3: 1}
+    assert kneser_ney.train(frame, common.shared_dir(spark)).words == 3
+
+
 def kn_brute(rows):
     def tokens(t):
         return (t or "").encode().lower().split() + [None]
@@ -358,9 +379,77 @@ def test_forward_sums_all_segmentations():
                 for rest in every(word[k:]):
                     yield p[at[word[:k]]] * rest
 
-    words = [b"abcab", b"aabca", b"bcbcb"]
-    mass = language_id.forward(language_id.Pieces(pieces), p, language_id.matrix(words))[-1]
-    assert np.allclose(mass, [sum(every(w)) for w in words])
+    words = [b"abcab", b"aabca", b"bcbcb", b"a", b"abcabcabcabc"]
+    model = language_id.Model(pieces, ["x", "y"], p, np.zeros(2))
+    assert np.allclose(model.log_words(words), [np.log(sum(every(w))) for w in words])
+
+
+def test_long_words_are_scored_over_all_segmentations(monkeypatch):
+    """Exact sums by fractions, over words far longer than a piece, in one run and carried over several."""
+    pieces = sorted([bytes([b]) for b in range(256)] + [x.encode() for x in ("日", "日本", "本語", "語日本語", "ab", "bab", "abab")])
+    p = np.random.default_rng(2).random((len(pieces), 2))
+    p /= p.sum(0)
+    at = {x: i for i, x in enumerate(pieces)}
+
+    def log_mass(word, k):
+        mass = [Fraction(1)]
+        for end in range(1, len(word) + 1):
+            mass.append(sum(mass[end - n] * Fraction(p[at[word[end - n : end]], k]) for n in range(1, min(12, end) + 1) if word[end - n : end] in at))
+        return math.log(mass[-1].numerator) - math.log(mass[-1].denominator)
+
+    model = language_id.Model(pieces, ["x", "y"], p, np.zeros(2))
+    words = [("日本語" * 9).encode(), b"ab" * 40 + b"c", ("ab日本語bab" * 40).encode(), b"abab"]
+    want = np.array([[log_mass(w, k) for k in range(2)] for w in words])
+    assert np.allclose(model.log_words(words), want)
+    monkeypatch.setattr(language_id, "BLOCK", 50)
+    assert np.allclose(model.log_words(words), want)
+
+
+def test_language_predictions_against_a_plain_model(spark, docs, odd):
+    """Prediction and score, by a dictionary of the fitted probabilities and a forward pass in Python; and fitting itself."""
+    model = language_id.learn(docs, per_language=20)
+    pieces = language_id.vocabulary()
+    at, longest = {x: i for i, x in enumerate(pieces)}, max(map(len, pieces))
+
+    def logs(text):
+        total = np.array(model.prior)
+        for word in text.split():
+            word, mass = b" " + word, [np.ones(len(model.languages))]
+            for end in range(1, len(word) + 1):
+                mass.append(sum(mass[end - n] * model.p[at[word[end - n : end]]] for n in range(1, min(longest, end) + 1) if word[end - n : end] in at))
+            total = total + np.log(mass[-1])
+        return total
+
+    frame = odd.filter("doc_id is null or doc_id >= 10000 or doc_id < 12").select("doc_id", "text")
+    for r in language_id.predicted(frame, model).collect():
+        if not re.search(r"[^\W\d_]", r["text"] or "") or len(r["text"]) > 4000:
+            continue
+        want = logs(r["text"].encode())
+        share = np.exp(want - want.max())
+        assert r["lang_pred"] == model.languages[int(want.argmax())] and r["score"] == pytest.approx(share.max() / share.sum(), abs=1e-6)
+
+    # Expected counts of one round, word by word and piece by piece.
+    small = sorted([bytes([b]) for b in range(256)] + [b"ab", b"abc", b"bc", b" a"])
+    counts = {"x": {b" abcab": 3, b" bc": 1}, "y": {b" aab": 2}}
+    got = language_id.fit(small, counts, {"x": 1, "y": 1}, rounds=1).p
+    start = np.exp(-1.0 * np.array([len(x) for x in small]))
+    start = dict(zip(small, start / start.sum()))
+
+    def ways(word):
+        if not word:
+            yield ()
+        for k in range(1, len(word) + 1):
+            if word[:k] in start:
+                yield from ((word[:k], *rest) for rest in ways(word[k:]))
+
+    for k, language in enumerate("xy"):
+        expected = dict.fromkeys(small, 0.1)
+        for word, n in counts[language].items():
+            masses = {w: math.prod(start[x] for x in w) for w in ways(word)}
+            for w, m in masses.items():
+                for x in w:
+                    expected[x] += n * m / sum(masses.values())
+        assert np.allclose(got[:, k], np.array([expected[x] for x in small]) / sum(expected.values()))
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -393,6 +482,25 @@ def test_secrets(spark, odd, plain):
     assert secret_scan.report(frame.limit(0), model).count() == 0
 
 
+def test_long_tokens_and_many_spans_take_linear_time(spark):
+    rng = random.Random(3)
+    token = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(1 << 20))
+    many = " ".join(f"é{i} password='{rng.randrange(1 << 60):x}zq' {rng.randrange(1 << 90):x}" for i in range(5_000))
+    frame = spark.createDataFrame([(1, "é " + token + " end"), (2, many)], "doc_id long, text string")
+    model = secret_scan.trained(spark.read.parquet(f"{SF}/documents.parquet"))
+    began = time.perf_counter()
+    found = {r["doc_id"]: r["secret_spans"] for r in secret_scan.scanned(frame, model).collect()}
+    assert [tuple(s) for s in found[1]] == [(2, 3, 2 + len(token))] and [tuple(s) for s in found[2] if s["kind"] < 3] == secrets_of(many)
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(frame, model).collect()}
+    assert time.perf_counter() - began < 40
+    want, left = [], 0
+    for s in sorted(tuple(s) for s in found[2]):
+        if s[0] >= left:
+            want.append(many[left : s[0]])
+        left = max(left, s[2])
+    assert clean[1] == "é [SECRET] end" and clean[2] == "[SECRET]".join([*want, many[left:]])
+
+
 @pytest.mark.parametrize("hot, segment", [(repeats.HOT, repeats.SEGMENT), (2, 1500)])
 def test_repeats(spark, odd, monkeypatch, hot, segment):
     """Against a count of every string; also with strings of frequent keys counted one by one, and texts parsed in short segments."""
