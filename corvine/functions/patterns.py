@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,11 +28,16 @@ def checked(pattern: str) -> str:
 
 
 def regex_match(line: Column, pattern: str) -> Column:
-    """Whether the regex matches somewhere in the line; a literal that every match holds is tested first."""
-    match = line.rlike(checked(pattern))
-    for literal in required_literals(pattern):
-        match = line.contains(literal) & match
-    return match
+    """Whether the regex matches somewhere in the line; the literals that a match needs are tested first."""
+    return holds_literals(line, pattern) & line.rlike(checked(pattern))
+
+
+def holds_literals(text: Column, pattern: str) -> Column:
+    """Whether a text has all the literals that one of a regex's branches needs."""
+    branches = literal_branches(pattern)
+    if not all(branches):
+        return F.lit(True)
+    return reduce(or_, (reduce(and_, (text.contains(x) for x in literals)) for literals in branches))
 
 
 def required_literals(pattern: str, least: int = 3) -> list[str]:
@@ -92,6 +99,80 @@ def required_literals(pattern: str, least: int = 3) -> list[str]:
     return runs
 
 
+def _split_top(pattern: str) -> list[str]:
+    """A pattern cut at the ``|`` outside groups, classes and escapes."""
+    parts, start, depth, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i += 1 + (pattern[i + 1 : i + 2] == "^")
+            i += pattern[i : i + 1] == "]"
+            while i < len(pattern) and pattern[i] != "]":
+                i += 1 + (pattern[i] == "\\")
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
+
+
+def _first_group(pattern: str) -> tuple[int, int] | None:
+    """Where the first group outside classes and escapes opens, and closes."""
+    opened, depth, i = None, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i += 1 + (pattern[i + 1 : i + 2] == "^")
+            i += pattern[i : i + 1] == "]"
+            while i < len(pattern) and pattern[i] != "]":
+                i += 1 + (pattern[i] == "\\")
+        elif c == "(":
+            opened, depth = (i if not depth else opened), depth + 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                return opened, i
+        i += 1
+    return None
+
+
+def literal_branches(pattern: str, least: int = 3, most: int = 64) -> list[list[str]]:
+    """For each alternative of a regex, literals that its every match contains; an empty list for one that needs none.
+
+    Alternatives are those at the top and those of plain groups without a quantifier, which are
+    multiplied out up to ``most`` branches; beyond that a group counts as needing nothing.
+    """
+    if "\\Q" in pattern or re.search(r"\(\?(?!:)", pattern):
+        return [[]]
+    done, open_ = [], _split_top(pattern)
+    while open_:
+        branch = open_.pop(0)
+        group = _first_group(branch)
+        if group is None or len(done) + len(open_) >= most:
+            done.append(required_literals(branch, least))
+            continue
+        a, b = group
+        inner = branch[a + 1 : b].removeprefix("?:")
+        head, tail = branch[:a], branch[b + 1 :]
+        if tail[:1] in ("?", "*", "{", "+"):
+            # What a repeated group holds is not counted on; a class in its place ends the literals around it.
+            done_tail = re.sub(r"^(?:[?*+]|\{[^}]*\})[?+]?", "", tail)
+            open_.insert(0, f"{head}[x]{done_tail}")
+        else:
+            parts = _split_top(inner)
+            if len(done) + len(open_) + len(parts) > most:
+                open_.insert(0, f"{head}[x]{tail}")
+            else:
+                open_ = [f"{head}{x}{tail}" for x in parts] + open_
+    return done
+
+
 def glob_regex(glob: str, strict: bool = False) -> str:
     """A whole-path regex for a glob with *, **, ?, [...] and {a,b}; ``*`` crosses / unless strict."""
     glob = glob.removeprefix("./")

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.sources.shared import shared_root
 
 #: Edges up to which a graph may be walked on the driver.
 SMALL_GRAPH = 100_000
@@ -80,28 +81,13 @@ def strong_components(adjacent: dict) -> list[list]:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in spark.checkpoint.dir; where none is set (tests), written to the warehouse's neighbourhood."""
-    spark = df.sparkSession
-    if not _has_checkpoint_dir(spark):
-        import atexit
-        import tempfile
-
-        folder = tempfile.TemporaryDirectory(prefix="corvine-graph-")
-        atexit.register(folder.cleanup)
-        spark.sparkContext.setCheckpointDir(f"file://{folder.name}")
+    """df as a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
-def _has_checkpoint_dir(spark: SparkSession) -> bool:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return True
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        context.setCheckpointDir(told)
-    return bool(told)
-
-
 def direct(edges: DataFrame, node) -> DataFrame:
     """A node's edges in the order of their lines."""
     order = [c for c in ("line_number", "dst") if c in edges.columns]

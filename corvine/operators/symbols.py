@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.functions.languages import KEYWORD_KINDS, is_keyword
+from corvine.operators import syntax
 from corvine.operators.comments import SYNTAX
 
 SCHEMA = "path string, language string, kind string, symbol string, start_line int, end_line int, preview string"
@@ -85,7 +86,7 @@ DECLARATIONS = {
     ),
     "Zig": (
         ("Function", r"\bfn\s+(\w+)\s*\("), ("Function", r"^\s*test\s+\"([^\"]*)\""), ("Struct", r"\bconst\s+(\w+)\s*=\s*(?:packed\s+|extern\s+)?struct\b"), ("Enum", r"\bconst\s+(\w+)\s*=\s*enum\b"),
-        ("Constant", r"\bconst\s+(\w+)\s*(?::[^=]+)?=\s*(?!(?:packed\s+|extern\s+)?struct\b|enum\b)"), ("Variable", r"\bvar\s+(\w+)\s*[:=]"),
+        ("Constant", r"\bconst\s+(\w+)\s*(?::[^=]+)?="), ("Variable", r"\bvar\s+(\w+)\s*[:=]"),
     ),
 }
 _MEMBER = rf"^\s*(?:@\w+(?:\([^)]*\))?\s*)*{_JVM_MODS}(?:<[^>]*>\s*)?(?:{_TYPE}\s+)?(\w+)\s*\([^;{{}}]*\)\s*(?:throws\s+[\w.,\s]+)?(?:where\s[^{{]*)?(?:\{{|=>|;)"
@@ -184,6 +185,8 @@ def _scan(language: str, text: str) -> list[tuple[str, str, int, int]]:
                 before = code[a : m.start(1)]
                 if before.count("{") == before.count("}"):
                     add("Method", m)
+                    if language == "PHP":
+                        out -= {("Function", *x[1:]) for x in out if x[0] == "Method"}
     return sorted(out, key=lambda s: (s[2], s[3], s[0], s[1]))
 
 
@@ -300,7 +303,7 @@ def spanning(rows: DataFrame, lines: DataFrame) -> DataFrame:
 def python_nodes(files: DataFrame, node_type: str) -> DataFrame:
     """Syntax-tree search in Python files: one row for each node of a type of the standard ``ast`` module, such as ``Call``.
 
-    S-expression patterns of other languages' grammars need a grammar library that is not available here.
+    For S-expressions see ``python_matches``; other languages' trees need grammar libraries that are not available here.
     """
 
     def rows(batches):
@@ -322,6 +325,37 @@ def python_nodes(files: DataFrame, node_type: str) -> DataFrame:
     return files.filter("language = 'Python'").select("path", "language", "content").mapInArrow(rows, SCHEMA)
 
 
+def python_matches(files: DataFrame, pattern: str) -> DataFrame:
+    """Matches of an S-expression in Python files: one row for each capture, its text as preview, its name as symbol where it has one."""
+    syntax.compiled(pattern)
+    names = {"class_definition": "Class", "function_definition": "Function"}
+
+    def rows(batches):
+        patterns = syntax.compiled(pattern)
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(7)]
+            for path, language, content in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content"))):
+                try:
+                    found = list(syntax.captures(patterns, content or ""))
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+                for _, node in found:
+                    name = next((c.text for label, c in node.children if label == "name"), node.text if node.kind == "identifier" else None)
+                    for c, v in zip(columns, (path, language, names.get(node.kind, "ast_match"), name, node.start, node.end, node.text)):
+                        c.append(v)
+            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in SCHEMA.split(", ")])
+
+    return files.filter("language = 'Python'").select("path", "language", "content").mapInArrow(rows, SCHEMA)
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """(files, symbols, bytes) of a table of stored symbols: distinct paths, rows, and bytes of what is shown of them."""
+    return cache.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.octet_length("symbol") + F.octet_length("preview")).alias("b")).agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes")
+    )
+
+
 def cached(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of a cache (with file_hash) that still hold, and the files that must be parsed again."""
     now = files.select("path", F.sha2("content", 256).alias("file_hash"))

@@ -1,13 +1,24 @@
-"""Byte-trigram postings: an inverted index of lines, and candidate lines for literals."""
+"""Byte-trigram postings: an inverted index of lines, and candidate lines for literals.
+
+A stored index is cut by documents: each task writes the postings of its own lines in
+trigram order, so building needs no shuffle, no trigram is a hot key, and a lookup
+prunes row groups and pages by their least and greatest trigram.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.functions.patterns import required_literals
+from corvine.functions.patterns import literal_branches
+
+POSTING = "trigram int, file_id bigint, line_no int"
+#: Bytes of lines whose trigrams are made distinct at once.
+BLOCK = 4 << 20
 
 
 def packed(text: str) -> list[int]:
@@ -17,25 +28,62 @@ def packed(text: str) -> list[int]:
 
 
 def trigrams(text: Column) -> Column:
-    """The distinct byte trigrams of a column as integers; none for fewer than three bytes."""
+    """The distinct byte trigrams of a column as integers; none for fewer than three bytes. For short texts: see ``postings`` for lines."""
     size = F.octet_length(text)
-    every = F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), i, F.lit(3))), 16, 10).cast("int"))
-    return F.when(size >= 3, F.array_distinct(every)).otherwise(F.array().cast("array<int>"))
+    return F.when(size >= 3, F.array_distinct(F.get(F.transform(F.array(F.encode(text, "UTF-8")), _each), 0))).otherwise(F.array().cast("array<int>"))
+
+
+def _each(data: Column) -> Column:
+    # ``data`` is bound once; cutting three bytes out of binary costs the same at any place.
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(data) - 2, F.lit(1))), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(3))), 16, 10).cast("int"))
+
+
+def _distinct(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, trigram) pairs, once each, in order."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    data = np.frombuffer(b"".join(lines), np.uint8).astype(np.int64)
+    if len(data) < 3:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    line = np.repeat(np.arange(len(lines)), sizes)
+    at = np.flatnonzero(line[2:] == line[:-2])
+    pairs = np.sort((line[at] << 24) | (data[at] << 16) | (data[at + 1] << 8) | data[at + 2])
+    pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] if len(pairs) else pairs
+    return pairs >> 24, pairs & 0xFFFFFF
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """(trigram, file_id, line_no), once for each; distinct within a line, so no shuffle is needed."""
-    return lines.select(F.explode(trigrams(F.col("line"))).alias("trigram"), "file_id", "line_no")
+    """(trigram, file_id, line_no), once for each; distinct within a line, so no shuffle is needed. Null lines have none."""
 
+    def rows(batches):
+        for batch in batches:
+            texts = batch.column("line").cast(pa.binary()).to_pylist()
+            first = 0
+            while first < len(texts):
+                last, held = first, 0
+                while last < len(texts) and (last == first or held + len(texts[last] or b"") <= BLOCK):
+                    held += len(texts[last] or b"")
+                    last += 1
+                line, trigram = _distinct([t or b"" for t in texts[first:last]])
+                where = pa.array(line + first)
+                yield pa.RecordBatch.from_arrays([pa.array(trigram, pa.int32()), batch.column("file_id").take(where), batch.column("line_no").take(where)], ["trigram", "file_id", "line_no"])
+                first = last
 
-def write_postings(lines: DataFrame, path: str, parts: int) -> None:
-    """Postings as Parquet in trigram order, so that a lookup reads few row groups. Frequent trigrams may span parts."""
-    postings(lines).repartitionByRange(parts, "trigram", "file_id").sortWithinPartitions("trigram", "file_id", "line_no").write.mode("overwrite").parquet(path)
+    return lines.select("file_id", "line_no", "line").mapInArrow(rows, POSTING)
+
+
+def write_postings(lines: DataFrame, path: str) -> None:
+    """Postings as Parquet, each part in trigram order."""
+    postings(lines).sortWithinPartitions("trigram", "file_id", "line_no").write.mode("overwrite").parquet(path)
 
 
 def candidates(index: DataFrame, pattern: str) -> DataFrame:
     """(file_id, line_no) of the lines that hold every trigram of the pattern; none for fewer than three bytes."""
-    wanted = packed(pattern)
+    return candidates_of_all(index, [pattern])
+
+
+def candidates_of_all(index: DataFrame, literals: list[str]) -> DataFrame:
+    """Lines that hold every trigram of every literal."""
+    wanted = sorted({t for x in literals for t in packed(x)})
     if not wanted:
         return index.select("file_id", "line_no").filter(F.lit(False))
     hits = index.filter(F.col("trigram").isin(wanted))
@@ -47,15 +95,21 @@ def search(lines: DataFrame, index: DataFrame, pattern: str) -> DataFrame:
     return lines.join(candidates(index, pattern), ["file_id", "line_no"], "left_semi").filter(F.col("line").contains(pattern))
 
 
-def candidate_files(index: DataFrame, literals: list[str]) -> DataFrame:
-    """file_id of the files that may hold any of the literals on a line."""
-    found = [candidates(index, x).select("file_id") for x in literals]
+def candidate_files(index: DataFrame, branches: list[list[str]]) -> DataFrame:
+    """file_id of the files with a line that may match one of a regex's branches, each given by the literals it needs."""
+    found = [candidates_of_all(index, literals).select("file_id") for literals in branches]
     return reduce(DataFrame.union, found).distinct()
 
 
 def regex_candidates(lines: DataFrame, index: DataFrame, pattern: str) -> DataFrame:
-    """Lines that may match a regex: those with every literal it needs; all lines where it needs none."""
-    out = lines
-    for literal in required_literals(pattern):
-        out = out.join(candidates(index, literal), ["file_id", "line_no"], "left_semi")
-    return out
+    """Lines that may match a regex: those with all the literals that one of its branches needs; all lines if a branch needs none."""
+    branches = literal_branches(pattern)
+    if not all(branches):
+        return lines
+    found = reduce(DataFrame.union, [candidates_of_all(index, literals) for literals in branches])
+    return lines.join(found if len(branches) == 1 else found.distinct(), ["file_id", "line_no"], "left_semi")
+
+
+def index_summary(index: DataFrame) -> DataFrame:
+    """(trigrams, postings): distinct trigrams and all entries of an index."""
+    return index.groupBy("trigram").agg(F.count("*").alias("n")).agg(F.count("*").alias("trigrams"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))

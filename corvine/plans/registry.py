@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from corvine.functions.patterns import truncated
 from corvine.operators import comments, graph, imports, profile, questions, results, symbols, trigram
-from corvine.plans.search import Query, rows
+from corvine.plans import samples
+from corvine.plans.search import Query, rows, syntax
 from corvine.sources.corpus import content_hash, from_documents, line_array, lines
+from corvine.sources.shared import shared_dir
 from corvine.streaming.watch import quiet_gaps, quiet_gaps_by_window
 
 QUERIES: dict = {}
@@ -66,9 +68,9 @@ def search_word(spark, sf_dir):
     return _text(rows(corpus(spark, sf_dir), Query("que", force=True)))
 
 
-@registered(f"WITH {_LINES} SELECT {_MATCH} FROM lines WHERE regexp_matches(line, 'th[aeiou]{{2}}n[a-z]+tion')")
+@registered(f"WITH {_LINES} SELECT {_MATCH} FROM lines WHERE regexp_matches(line, 'th[aeiou]{{1,2}}n[a-z]*')")
 def search_regex(spark, sf_dir):
-    return _text(rows(corpus(spark, sf_dir), Query("th[aeiou]{2}n[a-z]+tion", regex=True)))
+    return _text(rows(corpus(spark, sf_dir), Query("th[aeiou]{1,2}n[a-z]*", regex=True)))
 
 
 @registered(f"WITH {_LINES} SELECT {_MATCH} FROM lines WHERE language = 'de' AND path LIKE 'src1%/%.de' AND NOT path LIKE 'src19/%' AND contains(path, '7') AND {_word('und')}")
@@ -117,34 +119,45 @@ def previews(spark, sf_dir):
     return found.select("path", "start_line", truncated(F.col("preview")).alias("preview"))
 
 
-@registered(f"WITH {_LINES} SELECT path, language, line_no, line FROM lines WHERE contains(line, 'tion th')")
-def trigram_search(spark, sf_dir):
-    every = lines(corpus(spark, sf_dir))
-    return trigram.search(every, trigram.postings(every), "tion th").select("path", "language", "line_no", "line")
+_indexes: dict[tuple[str, str], str] = {}
 
 
-@registered(f"""WITH {_LINES}, ascii AS (SELECT * FROM lines WHERE strlen(line) = length(line)),
-grams AS (SELECT DISTINCT file_id, line_no, line[i:i + 2] AS g FROM (SELECT *, unnest(range(1, length(line) - 1)) AS i FROM ascii WHERE length(line) >= 3))
-SELECT ascii(g[1]) * 65536 + ascii(g[2]) * 256 + ascii(g[3]) AS trigram, count(*) AS lines FROM grams GROUP BY 1""")
-def trigram_stats(spark, sf_dir):
-    every = lines(corpus(spark, sf_dir)).filter("octet_length(line) = char_length(line)")
-    return trigram.postings(every).groupBy("trigram").agg(F.count("*").alias("lines"))
+def stored_postings(spark, sf_dir) -> DataFrame:
+    """The trigram index of the documents, built where it is missing: once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = f"{shared_dir(spark)}/postings"
+        trigram.write_postings(lines(corpus(spark, sf_dir)), path)
+        _indexes[key] = path
+    return spark.read.schema(trigram.POSTING).parquet(_indexes[key])
+
+
+@registered(f"""WITH {_LINES}, hexed AS (SELECT file_id, line_no, hex(encode(line)) AS h FROM lines WHERE strlen(line) >= 3),
+grams AS (SELECT DISTINCT file_id, line_no, h[i:i + 5] AS g FROM (SELECT *, unnest(range(1, len(h) - 4, 2)) AS i FROM hexed))
+SELECT count(DISTINCT g) AS trigrams, count(*) AS postings FROM grams""")
+def index_build(spark, sf_dir):
+    """Builds (or finds) the stored index and counts what is in it."""
+    return trigram.index_summary(stored_postings(spark, sf_dir))
+
+
+@registered(f"WITH {_LINES} SELECT path, language, line_no, line FROM lines WHERE contains(line, 'tion th')")
+def trigram_search(spark, sf_dir):
+    return trigram.search(lines(corpus(spark, sf_dir)), stored_postings(spark, sf_dir), "tion th").select("path", "language", "line_no", "line")
 
 
 @registered(f"""WITH {_LINES}, hexed AS (SELECT file_id, line_no, hex(encode(line)) AS h FROM lines WHERE strlen(line) >= 3),
 grams AS (SELECT DISTINCT file_id, line_no, h[i:i + 5] AS g FROM (SELECT *, unnest(range(1, len(h) - 4, 2)) AS i FROM hexed))
 SELECT ('0x' || g)::INT AS trigram, count(*) AS lines FROM grams GROUP BY 1""")
-def trigram_stats_bytes(spark, sf_dir):
-    """trigram_stats over all lines, those with characters of several bytes too."""
+def trigram_stats(spark, sf_dir):
+    """Lines of each byte trigram, those with characters of several bytes too."""
     return trigram.postings(lines(corpus(spark, sf_dir))).groupBy("trigram").agg(F.count("*").alias("lines"))
 
 
-@registered(f"WITH {_LINES} SELECT path, line_no FROM lines WHERE regexp_matches(line, 'ingent?h[a-z]*tion')")
+@registered(f"WITH {_LINES} SELECT path, line_no FROM lines WHERE regexp_matches(line, '(estion|ation)t?h[a-z]* [a-z]+')")
 def regex_index_search(spark, sf_dir):
-    every = lines(corpus(spark, sf_dir))
-    pattern = "ingent?h[a-z]*tion"
-    found = trigram.regex_candidates(every, trigram.postings(every), pattern)
-    return found.filter(F.col("line").rlike(pattern)).select("path", "line_no")
+    """By the union of the two branches' trigrams."""
+    pattern = "(estion|ation)t?h[a-z]* [a-z]+"
+    return rows(corpus(spark, sf_dir), Query(pattern, regex=True), stored_postings(spark, sf_dir)).select("path", F.col("start_line").alias("line_no"))
 
 
 @registered(f"""WITH {_LINES} SELECT language, count(DISTINCT file_id) AS files, count(line_no) AS lines, sum(DISTINCT 0) + max(b) AS bytes
@@ -300,10 +313,28 @@ def cycles_scc(spark, sf_dir):
 
 
 @registered(f"""WITH RECURSIVE {_FUNC}, reach AS (SELECT src AS a, dst AS b FROM func UNION SELECT reach.a, func.dst FROM reach JOIN func ON func.src = reach.b)
-SELECT component, count(*)::INT AS length FROM (
+SELECT component, count(*)::INT AS length, string_agg(id::VARCHAR, ',' ORDER BY id) AS nodes FROM (
   SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a IN (SELECT a FROM reach WHERE a = b) GROUP BY 1) GROUP BY 1""")
 def cycles(spark, sf_dir):
-    return graph.cycles(func_edges(spark, sf_dir)).select("component", "length")
+    return graph.cycles(func_edges(spark, sf_dir)).select("component", "length", F.array_join(F.array_sort("nodes").cast("array<string>"), ",").alias("nodes"))
+
+
+def _by_joins(name: str) -> None:
+    """A graph query again, with the walk as a loop of joins that graphs of over SMALL_GRAPH edges take."""
+    query = QUERIES[name]
+
+    def joined(spark, sf_dir):
+        most, graph.SMALL_GRAPH = graph.SMALL_GRAPH, 0
+        try:
+            return query(spark, sf_dir)
+        finally:
+            graph.SMALL_GRAPH = most
+
+    QUERIES[f"{name}_by_joins"], ORACLE_SQL[f"{name}_by_joins"] = joined, ORACLE_SQL[name]
+
+
+for _name in ("deps_transitive", "unused_with_exports", "islands", "cycles_scc", "cycles"):
+    _by_joins(_name)
 
 
 _DEPS = """df AS (SELECT s_suppkey AS file_id, 'pkg' || s_nationkey || '/f' || s_suppkey || ['.py', '.rs', '.TS', '.vue'][s_suppkey % 4 + 1] AS path FROM supplier),
@@ -355,12 +386,12 @@ def suffix_lookup(spark, sf_dir):
     return imports.by_suffix(names, dependency_files(spark, sf_dir))
 
 
-@registered(f"""WITH {_LINES}, spans AS (SELECT path, line_no AS start_line, line_no + 3 AS end_line FROM lines WHERE line_no % 5 = 1),
+@registered(f"""WITH {_LINES}, spans AS (SELECT path, line_no AS start_line, line_no + 3 AS end_line FROM lines),
 hit AS (SELECT path, line_no FROM lines WHERE contains(line, 'thing'))
 SELECT path, start_line, end_line FROM spans s WHERE EXISTS (SELECT 1 FROM hit h WHERE h.path = s.path AND h.line_no BETWEEN start_line AND end_line)""")
 def span_overlap(spark, sf_dir):
     every = lines(corpus(spark, sf_dir))
-    spans = every.filter("line_no % 5 = 1").select("path", F.col("line_no").alias("start_line"), (F.col("line_no") + 3).alias("end_line"))
+    spans = every.select("path", F.col("line_no").alias("start_line"), (F.col("line_no") + 3).alias("end_line"))
     return symbols.spanning(spans, every.filter(F.col("line").contains("thing")))
 
 
@@ -417,12 +448,14 @@ def span_previews(spark, sf_dir):
     return spans.select("path", "preview").join(whole, "path")
 
 
-_COMMENT = "CASE WHEN position('#' IN line) > 0 AND position('#' IN line) <= position('tion' IN line) THEN false ELSE contains(line, 'tion') END"
+# What is left of a line before its first # without strings, closed or not.
+_STRINGS = r"""\"(\\.|[^\"\\])*(\"|$)|'(\\.|[^'\\])*('|$)""".replace("'", "''")
+_COMMENT = f"contains(regexp_replace(split_part(line, '#', 1), '{_STRINGS}', ' ', 'g'), 'tion')"
 
 
-@registered(f"""WITH {_LINES}, py AS (SELECT * FROM lines WHERE NOT contains(line, '"') AND NOT contains(line, '''')) SELECT path, line_no, {_COMMENT} AS in_code FROM py WHERE contains(line, 'tion')""")
+@registered(f"WITH {_LINES} SELECT path, line_no, {_COMMENT} AS in_code FROM lines WHERE contains(line, 'tion')")
 def comment_filter(spark, sf_dir):
-    every = lines(corpus(spark, sf_dir)).filter("NOT contains(line, '\"') AND NOT contains(line, '\\'') AND contains(line, 'tion')")
+    every = lines(corpus(spark, sf_dir)).filter("contains(line, 'tion')")
     return every.select("path", "line_no", comments.code_occurrence(F.lit("Python"), F.col("line"), "tion").alias("in_code"))
 
 
@@ -453,7 +486,7 @@ def search_symbols(spark, sf_dir):
 
 @registered(f"WITH f AS ({_CODE}) SELECT path, 'Class' AS kind, 'C' || doc_id AS symbol FROM f")
 def search_keyword(spark, sf_dir):
-    return rows(python_files(spark, sf_dir), Query("class", symbols=True)).select("path", "kind", "symbol")
+    return rows(python_files(spark, sf_dir), Query("class", symbols=True, force=True)).select("path", "kind", "symbol")
 
 
 @registered(f"WITH f AS ({_CODE}) SELECT a.path AS path, 2 AS line_number, '.m' || (a.doc_id + 20) AS imported_path, b.path AS target FROM f a LEFT JOIN f b ON b.path = split_part(a.path, '/', 1) || '/m' || (a.doc_id + 20) || '.py'")
@@ -464,6 +497,31 @@ def imports_python(spark, sf_dir):
     return found.join(target, "resolved_file_id", "left").select("path", "line_number", "imported_path", "target")
 
 
+@registered(f"WITH f AS ({_CODE}) SELECT path, 'Method' AS what, 'run' AS symbol, 8 AS start_line, 8 AS end_line FROM f UNION ALL SELECT path, 'Class', 'C' || doc_id, 7, 10 FROM f")
+def syntax_captures(spark, sf_dir):
+    """An S-expression with two captures."""
+    found = syntax(python_files(spark, sf_dir), "(class_definition (block (function_definition name: (identifier) @method))) @class", Query("run", force=True))
+    return found.select("path", F.when(F.col("kind") == "Class", "Class").otherwise("Method").alias("what"), "symbol", "start_line", "end_line")
+
+
 @registered(f"WITH f AS ({_CODE}) SELECT path, 'Class' AS kind, 7 AS start_line FROM f")
 def syntax_search(spark, sf_dir):
     return symbols.python_nodes(python_files(spark, sf_dir), "ClassDef").select("path", "kind", "start_line")
+
+
+def _language_queries() -> None:
+    """symbols_<language> and imports_<language> over a made source of that language for each document."""
+    for language in samples.SAMPLES:
+
+        def found(spark, sf_dir, language=language):
+            return symbols.symbols(samples.sources(table(spark, sf_dir, "documents"), language)).select("path", "kind", "symbol", "start_line", "end_line")
+
+        def imported(spark, sf_dir, language=language):
+            return imports.imports(samples.sources(table(spark, sf_dir, "documents"), language), internal_only=False).select("path", "line_number", "imported_path", "import_type")
+
+        for what, function in (("symbols", found), ("imports", imported)):
+            QUERIES[f"{what}_{language.lower()}"] = function
+            ORACLE_SQL[f"{what}_{language.lower()}"] = samples.expected_sql(language, what)
+
+
+_language_queries()

@@ -7,18 +7,24 @@ language, glob and path come before anything is parsed.
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.functions.languages import is_keyword, resolve_kind, resolve_language
-from corvine.functions.patterns import glob_match, regex_match, required_literals, word_match
+from corvine.functions.patterns import glob_match, holds_literals, regex_match, word_match
 from corvine.operators import comments, results, symbols, trigram
 from corvine.sources.corpus import lines
 
-#: Files from which on short patterns, and rows from which on broad ones, are refused without ``force``.
+#: Files beyond which patterns of under four characters are refused without ``force``; characters that a pattern needs.
 MANY_FILES, SHORTEST = 20_000, 3
+# Candidates beyond which a query is refused without ``force``, by what it has to parse.
+MOST = {"syntax": 100, "syntax with glob": 10_000, "keyword": 20_000, "symbols": 50_000}
 
 
 class TooBroad(ValueError):
@@ -69,8 +75,7 @@ def filtered(files: DataFrame, query: Query) -> DataFrame:
 
 def matching_lines(files: DataFrame, query: Query, postings: DataFrame | None = None) -> DataFrame:
     # What every matching line holds, its file holds: files without it are not cut into lines.
-    for literal in required_literals(query.pattern) if query.regex else [query.pattern]:
-        files = files.filter(F.col("content").contains(literal))
+    files = files.filter(holds_literals(F.col("content"), query.pattern) if query.regex else F.col("content").contains(query.pattern))
     every = lines(files)
     if query.regex:
         source = trigram.regex_candidates(every, postings, query.pattern) if postings is not None else every
@@ -82,8 +87,8 @@ def matching_lines(files: DataFrame, query: Query, postings: DataFrame | None =
     return every.filter(F.col("line").contains(query.pattern) if query.contains or query.symbols else word_match(F.col("line"), query.pattern))
 
 
-def guard(files: DataFrame, query: Query, rows: DataFrame | None = None) -> None:
-    """Refuse queries that are too broad. Counts stop at the threshold."""
+def guard(files: DataFrame, query: Query) -> None:
+    """Refuse queries that are too broad before anything is searched. Counts stop at the threshold."""
     language = resolve_language(query.language) if query.language else None
     if query.force or is_keyword(query.pattern, language):
         return
@@ -91,10 +96,15 @@ def guard(files: DataFrame, query: Query, rows: DataFrame | None = None) -> None
         raise TooBroad(f"patterns of fewer than {SHORTEST} characters need force")
     if not query.regex and len(query.pattern) < 4 and files.limit(MANY_FILES + 1).count() > MANY_FILES:
         raise TooBroad(f"a pattern of {len(query.pattern)} characters over more than {MANY_FILES} files needs force")
-    if rows is not None and (query.symbols or query.kind):
-        most = 50_000 if query.include or query.language else 10_000
-        if rows.limit(most + 1).count() > most:
-            raise TooBroad(f"more than {most} candidate lines; add a language or a glob, or force it")
+
+
+def guard_candidates(candidates: DataFrame, query: Query, what: str) -> None:
+    """Refuse to parse too many candidates (lines for symbols; files for keywords and syntax trees)."""
+    if query.force:
+        return
+    most = MOST[what] - (what == "syntax")  # without a glob the threshold itself is too many
+    if candidates.limit(most + 1).count() > most:
+        raise TooBroad(f"more than {most} candidates of a {what} query; add a language or a glob, or force it")
 
 
 def rows(files: DataFrame, query: Query, postings: DataFrame | None = None, symbol_table: DataFrame | None = None, checked: bool = True) -> DataFrame:
@@ -109,6 +119,9 @@ def rows(files: DataFrame, query: Query, postings: DataFrame | None = None, symb
             candidates = chosen
         else:
             hit_lines = matching_lines(chosen, query, postings)
+        if checked:
+            guard_candidates(chosen if keyword else hit_lines, query, "keyword" if keyword else "symbols")
+        if not keyword:
             candidates = chosen.join(hit_lines.select("file_id").distinct(), "file_id", "left_semi")
             if not query.regex:
                 candidates = comments.without_comment_files(candidates, lines(candidates), query.pattern)
@@ -129,8 +142,52 @@ def rows(files: DataFrame, query: Query, postings: DataFrame | None = None, symb
     return results.first_per_path(out) if query.paths_only else out
 
 
-def search(files: DataFrame, query: Query, **sources) -> results.Page:
-    return results.page(rows(files, query, **sources), query.offset, query.limit)
+class TimedOut(TimeoutError):
+    """The query took too long; narrow it or allow more time."""
+
+
+def search(files: DataFrame, query: Query, timeout: float | None = 30.0, **sources) -> results.Page:
+    """The page that a query asks for. Its jobs are cancelled after ``timeout`` seconds; None waits."""
+    with time_limit(files.sparkSession, timeout):
+        return results.page(rows(files, query, **sources), query.offset, query.limit)
+
+
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Cancels the jobs started within the block by this thread when the time is over, and raises TimedOut."""
+    if seconds is None:
+        yield
+        return
+    tag, over = f"corvine-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        over.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    except Exception as error:
+        if over.is_set():
+            raise TimedOut(f"the query took more than {seconds} s") from error
+        raise
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
+    if over.is_set():
+        raise TimedOut(f"the query took more than {seconds} s")
+
+
+def syntax(files: DataFrame, pattern: str, query: Query) -> DataFrame:
+    """Syntax-tree matches in the Python files that a query's filters leave; without a glob few files are allowed."""
+    chosen = filtered(files, query).filter("language = 'Python'")
+    guard_candidates(chosen, query, "syntax with glob" if query.include else "syntax")
+    return symbols.python_matches(chosen, pattern) if pattern.lstrip().startswith("(") else symbols.python_nodes(chosen, pattern)
 
 
 def of_kind(files: DataFrame, kind: str) -> DataFrame:

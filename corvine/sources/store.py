@@ -86,7 +86,7 @@ class Index:
                 still = stored.select(*key).join(fresh.select(*key), key, "left_anti")
                 rows = rows.unionByName(kept.join(still, key, "left_semi"))
             rows.write.parquet(f"{folder}/{name}")
-        trigram.write_postings(lines(stored), f"{folder}/postings", parts)
+        trigram.write_postings(lines(stored), f"{folder}/postings")
         row = stored.agg(F.count("*").alias("files"), F.sum("line_count").alias("lines")).first()
         manifest = {"version": VERSION, "snapshot": snapshot, "branch": branch, "commit": commit, "indexed_at": time.time(), "files": row["files"], "lines": row["lines"] or 0}
         self._publish(manifest)

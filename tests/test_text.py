@@ -91,12 +91,12 @@ def test_trigrams_are_bytes(spark, text):
 
 def test_index_and_scan_agree(files, spark, tmp_path):
     every = corpus.lines(files({"a.rs": "fn hello()\nhell o\n你好吗", "b.rs": "say hello\n", "c.rs": "helo elloh"}))
-    trigram.write_postings(every, str(tmp_path / "p"), 2)
+    trigram.write_postings(every, str(tmp_path / "p"))
     index = spark.read.parquet(str(tmp_path / "p"))
     for pattern in ("hello", "你好", "ell", "zzz", "hel"):
         assert rows(trigram.search(every, index, pattern).select("path", "line_no")) == rows(every.filter(F.col("line").contains(pattern)).select("path", "line_no"))
     assert trigram.search(every, index, "he").count() == 0
-    assert {r[0] for r in trigram.candidate_files(index, ["hello", "helo"]).collect()} == {r[0] for r in every.select("file_id").collect()}
+    assert {r[0] for r in trigram.candidate_files(index, [["hello"], ["helo"]]).collect()} == {r[0] for r in every.select("file_id").collect()}
 
 
 @pytest.mark.parametrize("language, line, pattern, code", [
@@ -148,4 +148,4 @@ def test_trigram_counts_cover_lines_of_multibyte_text(spark, tmp_path):
             data = line.encode()
             for g in {int.from_bytes(data[i : i + 3], "big") for i in range(len(data) - 2)}:
                 want[g] = want.get(g, 0) + 1
-    assert {r["trigram"]: r["lines"] for r in registry.trigram_stats_bytes(spark, str(tmp_path)).collect()} == want
+    assert {r["trigram"]: r["lines"] for r in registry.trigram_stats(spark, str(tmp_path)).collect()} == want
