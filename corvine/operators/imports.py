@@ -305,20 +305,20 @@ def exports(files: DataFrame, project: Project = Project()) -> DataFrame:
     return files.select("file_id", "path", "language", "content").mapInArrow(rows, EXPORT)
 
 
-def resolved(rows: DataFrame, files: DataFrame, column: str = "resolved_file_id") -> DataFrame:
-    """Rows with the file of their first candidate that exists; null where none does."""
+def resolved(rows: DataFrame, files: DataFrame, column: str = "resolved_file_id", keep: bool = False) -> DataFrame:
+    """Rows with the file of their first candidate that exists; null where none does. ``keep`` leaves the candidates there."""
     numbered = rows.withColumn("__row", F.struct("file_id", "line_number", *[c for c in ("imported_path", "source_path", "exported_symbol") if c in rows.columns]))
     wanted = numbered.select("__row", F.posexplode("candidates").alias("__order", "__path"))
     hits = wanted.join(files.select(F.col("path").alias("__path"), F.col("file_id").alias(column)), "__path").groupBy("__row").agg(F.min_by(column, "__order").alias(column))
-    return numbered.join(hits, "__row", "left").drop("__row", "candidates")
+    return numbered.join(hits, "__row", "left").drop("__row", *(() if keep else ("candidates",)))
 
 
-def by_suffix(names: DataFrame, files: DataFrame, aligned: bool = True) -> DataFrame:
+def by_suffix(names: DataFrame, files: DataFrame, aligned: bool = False) -> DataFrame:
     """(name, file_id) for names that are the suffix of exactly one path, without regard to ASCII case.
 
-    ``aligned`` suffixes begin at a path component: paths are exploded into theirs and joined
-    by equality. Otherwise any suffix of the text counts: paths are exploded into all of
-    theirs, as many rows as they have characters.
+    Any suffix of the text counts: paths are exploded into all of theirs, as many rows as
+    they have characters, and joined by equality. ``aligned`` suffixes begin at a path
+    component, which makes far fewer.
     """
     path = F.lower("path")
     if aligned:
@@ -343,6 +343,16 @@ def path_variants(name: str) -> list[str]:
     return out
 
 
+def resolution_cache(dependencies: DataFrame, files: DataFrame) -> DataFrame:
+    """(imported_path, file_id) for every distinct imported path that one of its variants resolves.
+
+    As ``by_variants``, but the variants are made in Spark, for any number of paths.
+    """
+    made = F.udf(path_variants, "array<string>")
+    wanted = dependencies.select("imported_path").distinct().select("imported_path", F.posexplode(made("imported_path")).alias("place", "path"))
+    return wanted.join(files.select("path", "file_id"), "path").groupBy("imported_path").agg(F.min_by("file_id", "place").alias("file_id"))
+
+
 def by_variants(names: list[str], files: DataFrame) -> DataFrame:
     """(name, file_id): the file of each name's first variant that is a path."""
     rows = [(n, i, v) for n in names for i, v in enumerate(path_variants(n))]
@@ -397,7 +407,7 @@ def tsconfig_aliases(text: str, folder: str = "") -> dict[str, str]:
 
 def project_of(files: DataFrame) -> Project:
     """A project's aliases and prefixes from its manifests, which are few and small."""
-    wanted = F.regexp_extract("path", r"([^/]*)$", 1).isin("tsconfig.json", "go.mod", "composer.json", "pyproject.toml", "setup.py", "pom.xml", "build.gradle", "build.gradle.kts")
+    wanted = F.regexp_extract("path", r"([^/]*)$", 1).isin("tsconfig.json", "go.mod", "composer.json", "pyproject.toml", "setup.py", "pom.xml", "build.gradle", "build.gradle.kts") | F.col("path").endswith(".gemspec")
     aliases: dict[str, str] = {}
     prefixes: dict[str, dict[str, str]] = {}
     for path, text in files.filter(wanted).select("path", "content").orderBy("path").toLocalIterator():
@@ -413,6 +423,10 @@ def project_of(files: DataFrame) -> Project:
                 prefixes.setdefault("PHP", {})[k] = _joined(folder, v if isinstance(v, str) else v[0])
         elif name in ("pyproject.toml", "setup.py") and (m := re.search(r"^\s*name\s*=\s*['\"]([\w-]+)['\"]", text, re.M)):
             prefixes.setdefault("Python", {})[m[1].replace("-", "_")] = folder
+        elif name.endswith(".gemspec") and (m := re.search(r"\.name\s*=\s*['\"]([\w-]+)['\"]", text)):
+            # A gem is required by its name, with - or _ or /.
+            for gem in {m[1], m[1].replace("-", "_"), m[1].replace("-", "/")}:
+                prefixes.setdefault("Ruby", {})[gem] = folder
         elif name == "pom.xml" and (m := re.search(r"<groupId>([^<]+)</groupId>", text)):
             prefixes.setdefault("Java", {})[m[1]] = _joined(folder, "src/main/java")
             prefixes.setdefault("Kotlin", {})[m[1]] = _joined(folder, "src/main/kotlin")

@@ -92,7 +92,7 @@ def test_layout(files: DataFrame) -> DataFrame:
     ).withColumn("ratio", F.try_divide("tests", "sources"))
 
 
-#: Framework to the manifest names and to what their content must match.
+# Framework to the manifest names and to what their content must match.
 FRAMEWORKS = {
     "Next.js": ("package.json", r'"next"\s*:'), "React": ("package.json", r'"react"\s*:'), "Vue": ("package.json", r'"vue"\s*:'), "Svelte": ("package.json", r'"svelte"\s*:'),
     "Angular": ("package.json", r'"@angular/core"\s*:'), "Express": ("package.json", r'"express"\s*:'), "NestJS": ("package.json", r'"@nestjs/core"\s*:'),
@@ -147,6 +147,25 @@ def duplicates(files: DataFrame) -> DataFrame:
     return files.groupBy(F.sha2("content", 256).alias("hash")).agg(F.count("*").alias("copies"), F.min("path").alias("first_path")).filter("copies > 1")
 
 
+def prompt_context(files: DataFrame) -> str:
+    """The corpus in a few lines of text, as context of a question to a language model."""
+    languages = sorted(distribution(files).collect(), key=lambda r: (-r["files"], r["language"]))
+    out = [f"Project: {project_type(files)}", "Languages: " + ", ".join(f"{r['language']} {r['files']} files ({r['percent']:.1f}%)" for r in languages)]
+    main = dominant(files)
+    if main:
+        out.append(f"Mainly: {main}")
+    if folders := top_folders(files).collect():
+        out.append("Top folders: " + ", ".join(f"{r['folder']}/ ({r['files']})" for r in folders))
+    if prefixes := common_prefixes(files).collect():
+        out.append("Common paths: " + ", ".join(r["prefix"] for r in prefixes))
+    several, n = monorepo(files)
+    if several:
+        out.append(f"Monorepo of {n} packages")
+    if used := frameworks(files):
+        out.append("Frameworks: " + ", ".join(used))
+    return "\n".join(out)
+
+
 def context(files: DataFrame) -> dict:
     """The parts above as one dictionary, for display or JSON."""
     return {

@@ -5,6 +5,8 @@ A match row is (path, language, kind, symbol, start_line, end_line, preview).
 
 from __future__ import annotations
 
+import json
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -119,6 +121,19 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias("value"))
 
 
+def paths_json(rows: DataFrame) -> DataFrame:
+    """One JSON text: an array of {path, line} of the first match in each file, by path. For results that fit one row."""
+    first = rows.groupBy("path").agg(F.min("start_line").alias("line"))
+    return first.agg(F.to_json(F.sort_array(F.collect_list(F.struct("path", "line")))).alias("value"))
+
+
+def count_json(rows: DataFrame) -> str:
+    """{"count": n, "timing_ms": t} of counting the rows."""
+    began = time.perf_counter()
+    n = rows.count()
+    return json.dumps({"count": n, "timing_ms": int((time.perf_counter() - began) * 1000)})
+
+
 def merged(queries: list[tuple[DataFrame, bool]]) -> tuple[DataFrame | None, int]:
     """Rows of the queries marked for merging, in order of the queries, once for each (path, start, end); and the sum of all counts."""
     total, parts = 0, []

@@ -132,6 +132,12 @@ def compiled(text: str) -> list[Pattern]:
                 options.append(pattern())
             take("]")
             made = Pattern(frozenset(), alternatives=options)
+        elif tokens[at : at + 2] == ["(", "("]:  # a pattern with tests around it
+            take("(")
+            made = pattern()
+            while peek() != ")":
+                made.tests.append(test())
+            take(")")
         else:
             take("(")
             kind = take()

@@ -380,12 +380,28 @@ def dependency_info(spark, sf_dir):
 
 
 @registered(f"""WITH {_DEPS}, names AS (SELECT DISTINCT 'f' || s_suppkey || '.PY' AS name FROM supplier UNION ALL SELECT 'f1.py')
-SELECT name, min(file_id) AS file_id FROM (SELECT DISTINCT name FROM names) JOIN df ON path ILIKE '%/' || name OR path ILIKE name GROUP BY 1 HAVING count(*) = 1""")
+SELECT name, min(file_id) AS file_id FROM (SELECT DISTINCT name FROM names) JOIN df ON path ILIKE '%' || name GROUP BY 1 HAVING count(*) = 1""")
 def suffix_lookup(spark, sf_dir):
+    """By raw suffixes: a name may begin within a path component."""
     names = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), "s_suppkey", F.lit(".PY")).alias("name")).union(spark.createDataFrame([("f1.py",)], "name string")).distinct()
     return imports.by_suffix(names, dependency_files(spark, sf_dir))
 
 
+@registered(f"""WITH {_DEPS}, names AS (SELECT DISTINCT 'f' || s_suppkey || '.PY' AS name FROM supplier UNION ALL SELECT 'f1.py')
+SELECT name, min(file_id) AS file_id FROM (SELECT DISTINCT name FROM names) JOIN df ON path ILIKE '%/' || name OR path ILIKE name GROUP BY 1 HAVING count(*) = 1""")
+def suffix_lookup_aligned(spark, sf_dir):
+    names = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), "s_suppkey", F.lit(".PY")).alias("name")).union(spark.createDataFrame([("f1.py",)], "name string")).distinct()
+    return imports.by_suffix(names, dependency_files(spark, sf_dir), aligned=True)
+
+
+@registered(f"""WITH {_DEPS}, w AS (SELECT DISTINCT imported_path FROM (SELECT 'pkg' || s_nationkey || '/f' || (s_suppkey + 1) AS imported_path FROM supplier)),
+v AS (SELECT imported_path, e.place AS place, imported_path || e.ending AS path FROM w, (VALUES (0, '.php'), (1, '.rs'), (2, '.ts'), (3, '.js'), (4, '.py')) e(place, ending))
+SELECT imported_path, arg_min(file_id, place) AS file_id FROM v JOIN df USING (path) GROUP BY 1""")
+def resolution_cache(spark, sf_dir):
+    asked = table(spark, sf_dir, "supplier").select(F.concat(F.lit("pkg"), "s_nationkey", F.lit("/f"), (F.col("s_suppkey") + 1).cast("string")).alias("imported_path"))
+    return imports.resolution_cache(asked, dependency_files(spark, sf_dir))
+
+
 @registered(f"""WITH {_LINES}, spans AS (SELECT path, line_no AS start_line, line_no + 3 AS end_line FROM lines),
 hit AS (SELECT path, line_no FROM lines WHERE contains(line, 'thing'))
 SELECT path, start_line, end_line FROM spans s WHERE EXISTS (SELECT 1 FROM hit h WHERE h.path = s.path AND h.line_no BETWEEN start_line AND end_line)""")
@@ -509,6 +525,11 @@ def syntax_search(spark, sf_dir):
     return symbols.python_nodes(python_files(spark, sf_dir), "ClassDef").select("path", "kind", "start_line")
 
 
+@registered(f"WITH f AS ({_CODE}) SELECT count(DISTINCT path) AS files, 3 * count(*) AS symbols FROM f")
+def symbol_cache_stats(spark, sf_dir):
+    return symbols.cache_stats(symbols.symbols(python_files(spark, sf_dir))).select("files", "symbols")
+
+
 def _language_queries() -> None:
     """symbols_<language> and imports_<language> over a made source of that language for each document."""
     for language in samples.SAMPLES:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,55 @@ def deleted(known: DataFrame, present: DataFrame) -> DataFrame:
     return known.select("path").join(present.select("path"), "path", "left_anti")
 
 
+class Listing:
+    """Periodic listings of a watched tree: what was created, modified and removed since the last one.
+
+    ``listed`` are tables (path, modified); file streams tell nothing of removed files.
+    """
+
+    def __init__(self, known: DataFrame):
+        self.known = known
+
+    def changes(self, present: DataFrame) -> DataFrame:
+        """(path, event) against the last listing, which ``present`` replaces."""
+        was, now = self.known.select("path", F.col("modified").alias("__was")), present.select("path", F.col("modified").alias("__now"))
+        event = F.when(F.col("__was").isNull(), "created").when(F.col("__now").isNull(), "removed").when(F.col("__was") < F.col("__now"), "modified")
+        self.known = present
+        return was.join(now, "path", "full_outer").select("path", event.alias("event")).filter("event IS NOT NULL")
+
+
+class Background:
+    """One job at a time in a thread of its own, with a status that can be asked for at any time."""
+
+    def __init__(self):
+        self._lock, self._thread = threading.Lock(), None
+        self.status = {"state": "idle"}
+
+    def start(self, files: DataFrame, work: Callable[[DataFrame], None], batches: int = 8) -> bool:
+        """Run ``work`` on ``batches`` parts of the files, cut by path; False if a job is running."""
+        with self._lock:
+            if self._thread and self._thread.is_alive():
+                return False
+            self.status = {"state": "running", "done": 0, "batches": batches, "started": time.time()}
+            self._thread = threading.Thread(target=self._run, args=(files, work, batches), daemon=True)
+            self._thread.start()
+            return True
+
+    def _run(self, files: DataFrame, work: Callable[[DataFrame], None], batches: int) -> None:
+        try:
+            for i in range(batches):
+                work(files.filter(F.pmod(F.xxhash64("path"), F.lit(batches)) == i))
+                self.status = self.status | {"done": i + 1}
+            self.status = self.status | {"state": "done", "ended": time.time()}
+        except Exception as error:
+            self.status = self.status | {"state": "failed", "error": str(error), "ended": time.time()}
+
+    def wait(self, seconds: float | None = None) -> dict:
+        if self._thread:
+            self._thread.join(seconds)
+        return self.status
+
+
 def quiet_gaps(events: DataFrame, gap: str = "15 seconds", late: str = "1 minute") -> DataFrame:
     """(key, start, end, events): runs of a key's events with no gap between neighbours; for streams and tables of (key, ts)."""
     source = events.withWatermark("ts", late) if events.isStreaming else events

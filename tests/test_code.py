@@ -1,8 +1,12 @@
+import json
+import shutil
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from corvine.operators import graph, imports, profile, questions, results, symbols
-from corvine.plans.search import Query, TooBroad, of_kind, rows, search
+from corvine.operators import graph, imports, profile, questions, results, symbols, syntax
+from corvine.plans.search import Query, TimedOut, TooBroad, of_kind, rows, search
 from corvine.sources.store import Index
 from corvine.streaming import watch
 
@@ -165,6 +169,7 @@ def test_index_is_refreshed_by_content(spark, files, tmp_path):
     assert index.table("dependencies").filter("resolved_file_id IS NOT NULL").count() == 1
     same = index.build(files({"a.py": "import os\nfrom .b import c\nclass A: pass\n", "b.py": "c = 1\n"}), commit="2")
     assert same["snapshot"] == first["snapshot"] and index.status("main", "1")[0] == "stale" and index.status("dev")[0] == "stale"
+    assert index.status("main", "2", {"a.py": same["indexed_at"] + 5}) == ("stale", "files have changed") and index.status("main", "2", {"a.py": 1.0})[0] == "fresh"
     index.build(files({"a.py": "class B: pass\n", "b.py": "c = 1\n"}), commit="3")
     assert {r["symbol"] for r in index.table("symbols").collect()} == {"B", "c"} and index.table("dependencies").count() == 0
     index.compact(spark.createDataFrame([("b.py",)], "path string"))
@@ -173,6 +178,137 @@ def test_index_is_refreshed_by_content(spark, files, tmp_path):
     assert index.manifest() is None
 
 
+def test_refreshing_equals_building_anew(spark, files, tmp_path):
+    """Added, removed and changed files, and a new project file, change the edges of unchanged files too."""
+    states = [
+        {"p/a.py": "from .b import x\n", "web/x.ts": "import y from '@app/y'\nexport * from './z'\n", "web/y.ts": ""},
+        {"p/a.py": "from .b import x\n", "p/b.py": "x = 1\n", "web/x.ts": "import y from '@app/y'\nexport * from './z'\n", "web/y.ts": "", "web/z.ts": "let q = 1\n"},
+        {"p/a.py": "from .b import x\n", "web/x.ts": "import y from '@app/y'\nexport * from './z'\n", "web/y.ts": "", "tsconfig.json": '{"compilerOptions": {"paths": {"@app/*": ["web/*"]}}}'},
+    ]
+    grown = Index(spark, str(tmp_path / "grown"))
+    keys = {"files": ["path", "file_hash"], "postings": ["trigram", "file_id", "line_no"], "symbols": ["path", "symbol", "kind"], "dependencies": ["path", "imported_path", "resolved_file_id"], "exports": ["path", "source_path", "resolved_source_id"]}
+    for i, state in enumerate(states):
+        options = {"languages": ["Python", "TypeScript", "Unknown"]}
+        grown.build(files(state), commit=str(i), **options)
+        new = Index(spark, str(tmp_path / f"new{i}"))
+        new.build(files(state), **options)
+        for name, columns in keys.items():
+            got, want = ([tuple(r) for r in x.table(name).select(*columns).orderBy(*columns).collect()] for x in (grown, new))
+            assert got == want, (i, name)
+    assert grown.table("dependencies").filter("imported_path = '@app/y' AND resolved_file_id IS NOT NULL").count() == 1
+
+
+def test_branches_stats_and_rebuilding_of_postings(spark, files, tmp_path):
+    index = Index(spark, str(tmp_path / "index"))
+    index.build(files({"b.py": "x = 1\ny = 2\n", "a.rs": "fn a() {}\n"}), "main", "1")
+    held = index.table("files")
+    index.build(files({"b.py": "x = 1\ny = 2\n"}), "dev", "2")
+    assert held.count() == 2 and index.branch_total("main") == 2 and index.branch_total("dev") == 1 and index.branch_total("none") == 0
+    assert sorted((r["branch"], r["commit"], r["path"]) for r in index.branch_files().collect()) == [("dev", "2", "b.py"), ("main", "1", "a.rs"), ("main", "1", "b.py")]
+    assert [r["path"] for r in index.list_files("main").collect()] == ["a.rs", "b.py"] and index.list_files().columns == ["path", "language", "indexed_at"]
+    stats = index.stats("main")
+    assert stats["total_files"] == 2 and stats["lines_by_language"] == {"Python": 2, "Rust": 1} and stats["commit"] == "1" and stats["last_updated"] <= index.stats("dev")["last_updated"]
+    assert index.symbol_stats("main")["symbols"] == 3 and index.status("main", "1") == ("fresh", None)
+    # A reader of the branch's last snapshot is not disturbed by the next build, only by the one after it.
+    index.build(files({"b.py": "x = 3\n"}), "main", "3")
+    assert held.count() == 2
+    snapshot = index.manifest("main")["snapshot"]
+    shutil.rmtree(tmp_path / "index" / snapshot / "postings")
+    assert index.problems("main") == ["postings is missing"]
+    f = index.table("files", "main")
+    assert {r["path"] for r in rows(f, Query("x = 3", contains=True), index.table("postings", "main")).collect()} == {"b.py"} and index.problems("main") == []
+    (tmp_path / "index" / ".manifest-torn").write_text("{")
+    assert index.manifest("main")["commit"] == "3"
+
+
+def test_guards_count_candidates(files, monkeypatch):
+    from corvine.plans import search as planner
+
+    f = files({**{f"t{i}.py": "def func():\n    pass\n" for i in range(6)}, "src/a.rs": "fn func() {}\n"})
+    for name, most in (("syntax", 5), ("syntax with glob", 5), ("keyword", 5), ("symbols", 5)):
+        monkeypatch.setitem(planner.MOST, name, most)
+    for query in (Query("func", symbols=True), Query("def", symbols=True), Query("func", kind="function")):
+        with pytest.raises(TooBroad):
+            rows(f, query)
+    assert rows(f, Query("func", symbols=True, include=("src/*",))).count() == 1 and rows(f, Query("func", symbols=True, force=True)).count() == 7
+    monkeypatch.setattr(planner, "MANY_FILES", 5)
+    with pytest.raises(TooBroad):
+        rows(f, Query("fun"))
+    assert rows(f, Query("fun", force=True)).count() == 0 and rows(f, Query("func")).count() == 7
+    pattern = "(function_definition name: (identifier) @n)"
+    with pytest.raises(TooBroad):  # excluding is not enough
+        planner.syntax(f, pattern, Query("func", exclude=("**/target/**",)))
+    with pytest.raises(TooBroad):
+        planner.syntax(f, pattern, Query("func", include=("t*.py",)))
+    assert planner.syntax(f, pattern, Query("func", include=("t[12].py",))).count() == 2 and planner.syntax(f, "FunctionDef", Query("func", force=True)).count() == 6
+    monkeypatch.setitem(planner.MOST, "syntax", 6)
+    with pytest.raises(TooBroad):
+        planner.syntax(f, pattern, Query("func"))
+
+
+def test_a_query_may_run_out_of_time(spark, files):
+    slow = files({"a.py": "x = 1\n"}).withColumn("content", F.udf(lambda t: (time.sleep(20), t)[1], "string")("content"))
+    began = time.perf_counter()
+    with pytest.raises(TimedOut):
+        search(slow, Query("x =", contains=True), timeout=2)
+    assert time.perf_counter() - began < 15
+    assert search(files({"a.py": "x = 1\n"}), Query("x =", contains=True), timeout=60).total == 1
+
+
+@pytest.mark.parametrize("pattern, want", [
+    ("(function_definition name: (identifier) @name) @fn", [("fn", 7, "def run"), ("name", 7, "run"), ("fn", 10, "async def"), ("name", 10, "go")]),
+    ("(class_definition (block (function_definition name: (identifier) @m)))", [("m", 7, "run")]),
+    ("(call function: (attribute attribute: (identifier) @a))", [("a", 8, "join")]),
+    ("(function_definition)", []),
+    ('((function_definition name: (identifier) @n) (#match? @n "^g"))', [("n", 10, "go")]),
+    ('(function_definition name: (identifier) @n (#not-eq? @n "go"))', [("n", 7, "run")]),
+    ("[(import_statement) (import_from_statement)] @i", [("i", 1, "import os"), ("i", 2, "from a.b")]),
+    ("(decorated_definition definition: (class_definition name: (identifier) @c))", [("c", 5, "A")]),
+    ("(assignment left: (_) @l right: (integer))", [("l", 6, "x")]),
+])
+def test_patterns_over_syntax_trees(pattern, want):
+    source = "import os\nfrom a.b import c\n\n@deco\nclass A(B):\n    x = 1\n    def run(self, y):\n        return os.path.join(y)\n\nasync def go(): pass\nrun(3)\n"
+    got = [(c, n.start, n.text) for c, n in syntax.captures(syntax.compiled(pattern), source)]
+    assert [(c, line) for c, line, _ in got] == [(c, line) for c, line, _ in want] and all(t.startswith(w) for (_, _, t), (_, _, w) in zip(got, want))
+
+
+@pytest.mark.parametrize("pattern", ["", "(", "fn", "(a (#eq? @x))", "(a (#odd? @x \"y\"))", '("if" @x)'])
+def test_broken_patterns_are_refused(pattern):
+    with pytest.raises(ValueError):
+        syntax.compiled(pattern)
+
+
+def test_json_prompts_listings_and_background_jobs(spark, files):
+    f = files({"src/a.rs": "fn x() {}\nfn x2() {}\n", "b/Cargo.toml": "", "Cargo.toml": "", "src/main.rs": "fn main() {}\n"})
+    found = rows(f, Query("fn", force=True, scan_short=True))
+    assert json.loads(results.paths_json(found).first()[0]) == [{"path": "src/a.rs", "line": 1}, {"path": "src/main.rs", "line": 1}] and json.loads(results.count_json(found))["count"] == 3
+    text = profile.prompt_context(f)
+    assert "Project: Rust application" in text and "Rust 2 files" in text
+    listing = watch.Listing(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "path string, modified long"))
+    after = spark.createDataFrame([("a", 1), ("b", 2), ("d", 1)], "path string, modified long")
+    assert sorted(map(tuple, listing.changes(after).collect())) == [("b", "modified"), ("c", "removed"), ("d", "created")] and listing.changes(after).count() == 0
+    job, seen = watch.Background(), []
+    assert job.start(f, lambda part: seen.extend(r["path"] for r in part.select("path").collect()), 3) and job.wait(120)["state"] == "done" and len(seen) == 4
+    assert job.start(f, lambda part: 1 / 0, 2) and job.wait(120)["state"] == "failed"
+    gem = files({"my-gem.gemspec": "Gem::Specification.new do |s|\n  s.name = 'my-gem'\nend\n", "a.rb": ""})
+    assert imports.project_of(gem).prefixes["Ruby"] == {"my-gem": "", "my_gem": "", "my/gem": ""}
+
+
+def test_bundled_expectations_of_counts(files):
+    """Shapes of declarations that keyword queries count: eleven structs; thirteen and eleven classes."""
+    rust = (
+        "pub struct A {\n    x: f64,\n}\nstruct B { a: u8 }\npub struct C<T> {\n    v: T,\n}\npub struct D(pub u8, u8);\nstruct E(i32);\npub struct F;\nstruct G<T, U> {\n    a: T,\n    b: U,\n}\n"
+        "pub struct H<'a> {\n    d: &'a str,\n}\nstruct I<'a, 'b: 'a> {\n    d: &'b [&'a str],\n}\n#[derive(Debug)]\npub(crate) struct J {}\nstruct K<T>\nwhere\n    T: Copy,\n{\n    t: T,\n}\n// struct L;\nconst S: &str = \"struct M;\";\n"
+    )
+    python = "class A: pass\nclass B(A):\n    class C:\n        class D: pass\n    def f(self):\n        class E: pass\n@deco\nclass F(metaclass=M): pass\nclass G(A, B): pass\nclass H[T]: pass\nif x:\n    class I: pass\nclass J(Exception):\n    pass\nclass K: pass\nclass L: pass\nclass N: pass\n# class O\ns = 'class P: pass'\n"
+    java = "class A {}\npublic class B {\n  class C {}\n  static class D {\n    class E {}\n  }\n}\nabstract class F<T> {}\nfinal class G extends F<String> {}\nclass H implements I {\n  void m() {\n    class J {}\n  }\n}\nsealed class K permits L {}\nnon-sealed class L extends K {}\n// class X {}\ninterface I {}\n"
+    f = files({"s.rs": rust, "c.py": python, "c.java": java})
+    structs = rows(f, Query("struct", symbols=True, language="rust")).collect()
+    assert len(structs) == 11 and {r["kind"] for r in structs} == {"Struct"}
+    classes = rows(f, Query("class", symbols=True)).collect()
+    assert {r["kind"] for r in classes} == {"Class"} and [sum(r["path"] == p for r in classes) for p in ("c.py", "c.java")] == [13, 11]
+
+
 def test_watching(spark, tmp_path):
     source, seen = tmp_path / "src", []
     source.mkdir()

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -60,6 +61,33 @@ def test_required_literals_are_in_every_match(pattern, text):
         assert all(x in text for x in literals)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.from_regex(r"(\(?[abc.?*+|\[\]]{1,4}\)?[?*+]?){1,3}", fullmatch=True), st.text("abcd", max_size=12))
+def test_a_branch_has_its_literals_in_every_match(pattern, text):
+    try:
+        found = re.search(pattern, text)
+        branches = patterns.literal_branches(pattern, 1)
+    except (re.error, ValueError, OverflowError):
+        return
+    if found:
+        assert any(all(x in text for x in literals) for literals in branches)
+
+
+@pytest.mark.parametrize("pattern, branches", [
+    ("(async|await)", [["async"], ["await"]]), ("foo(bar|baz)qux", [["foobarqux"], ["foobazqux"]]), ("abc|d", [["abc"], []]), ("(?:ab|cd)+efg", [["efg"]]), ("x(abc(de|fg)h)y", [["xabcdehy"], ["xabcfghy"]]), ("(foo|bar)?baz", [["baz"]]), ("(?i)foo|bar", [[]]),
+])
+def test_branches_of_regexes(pattern, branches):
+    assert patterns.literal_branches(pattern) == branches
+
+
+def test_long_lines_take_linear_time(spark):
+    line = "".join(map(chr, range(97, 123))) * 40_000
+    every = spark.createDataFrame([(1, 1, line), (1, 2, None), (2, 1, "é"), (2, 2, "ab")], "file_id long, line_no int, line string")
+    began = time.perf_counter()
+    got = trigram.postings(every).collect()
+    assert time.perf_counter() - began < 10 and {(r["file_id"], r["line_no"]) for r in got} == {(1, 1)} and sorted(r["trigram"] for r in got) == trigram.packed(line[:100])
+
+
 def test_lookaround_is_refused():
     for p in ("(?=a)", "(?<!a)b", r"(a)\1"):
         with pytest.raises(ValueError):
