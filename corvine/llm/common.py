@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,24 +13,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.sources.shared import shared_dir  # noqa: F401
+
 #: Bytes of text that the vectorised kernels take at once; a longer text is taken alone.
 SLICE = 2 << 20
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not _own_dir:
-            kept = tempfile.TemporaryDirectory(prefix="corvine-")
-            atexit.register(kept.cleanup)
-            _own_dir.append(f"file://{kept.name}")
-        root = _own_dir[0]
-    return f"{root.rstrip('/')}/corvine-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = f"{folder}/{name}"

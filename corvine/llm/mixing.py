@@ -43,6 +43,8 @@ from corvine.llm.common import table
 BLOCK = 32
 #: Rows that a hash bin holds on average.
 BIN_ROWS = 500
+#: Bins whose counts one task adds up.
+GROUPED = 4096
 RESULTS = ("block", "phase", "release", "deadline", "slot", "position")
 
 
@@ -157,11 +159,16 @@ def mixed(documents: DataFrame, weights: dict | None = None, block: int = BLOCK,
     kept = documents.drop(*RESULTS)
     drawn = kept.withColumn("__draw", F.xxhash64(F.coalesce(*[F.col(c).cast("string") for c in ("doc_id", "text") if c in kept.columns], F.lit(""))))
     drawn = drawn.withColumn("__bin", F.pmod(F.shiftrightunsigned("__draw", 20), F.lit(bins)))
+    # Running sums in two levels, so that no task orders all bins of a source.
+    sizes = drawn.groupBy(key.alias("__source"), F.col("__bin").alias("__bin2")).count().withColumn("__group", F.expr(f"__bin2 DIV {GROUPED}"))
+    groups = sizes.groupBy("__source", "__group").agg(F.sum("count").alias("__n"))
+    groups = groups.withColumn("__start", F.coalesce(F.sum("__n").over(W.partitionBy("__source").orderBy("__group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(F.col("__source").alias("__source2"), F.col("__group").alias("__group2"), "__start")
+    within = F.coalesce(F.sum("count").over(W.partitionBy("__source", "__group").orderBy("__bin2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     before = (
-        drawn.groupBy(key, "__bin").count()
-        .withColumn("__before", F.sum("count").over(W.partitionBy("source").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)))
-        .select(key.alias("__source"), F.col("__bin").alias("__bin2"), F.coalesce("__before", F.lit(0)).alias("__before"))
-    )
+        sizes.withColumn("__within", within)
+        .join(groups, F.col("__source").eqNullSafe(F.col("__source2")) & (F.col("__group") == F.col("__group2")))
+        .select("__source", "__bin2", (F.col("__start") + F.col("__within")).alias("__before"))
+    )
     inside = drawn.withColumn("__in", F.row_number().over(W.partitionBy("source", "__bin").orderBy("__draw", "doc_id")) - 1)
     ranked = inside.join(before, key.eqNullSafe(F.col("__source")) & (F.col("__bin") == F.col("__bin2")))
     rank = F.col("__before") + F.col("__in")
@@ -183,4 +190,6 @@ def mixed(documents: DataFrame, weights: dict | None = None, block: int = BLOCK,
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", *RESULTS)
+    # A null doc_id is drawn by its text, so that many of them do not meet in one bin.
+    drawn_by = F.when(F.col("doc_id").isNull(), F.xxhash64("text").cast("string")).alias("text")
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source", drawn_by)).select("doc_id", "source", *RESULTS)
