@@ -8,7 +8,8 @@ lower bound of its posterior bad rate, mean minus ``z`` standard deviations,
 exceeds ``threshold``.
 
 Defined results: a null or malformed URL has an empty host and path and is judged
-like a host of that (empty) name; a page without label counts for nothing; a label
+like a host of that (empty) name; user, port and a trailing dot do not count in a host's
+domain and suffix, and an address is a domain of its own; a page without label counts for nothing; a label
 with both outcomes null is no label; repeated pages and labels count each time; a
 null page_id passes through. With no labels at all every prior is 1/2 and nothing
 exceeds the default threshold. Other columns are ignored. Host tables are joined by
@@ -18,13 +19,16 @@ broadcast table that Spark has measured.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
+from corvine.llm.common import shared_dir, table, written
+
+# Second-level labels under which many countries register names, and the countries that do.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+COUNTRIES = tuple("ar au bd br cn co cr eg gh hk id il in jp ke kr lk mx my ng np nz pe ph pk sa sg th tr tw tz ua ug uk uy ve vn za zm zw".split())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,7 +52,8 @@ class Reputation:
     #: Bounds of a prior's strength, in pseudo-observations.
     weakest: float = 2.0
     strongest: float = 1000.0
-    two_label_suffixes: tuple[str, ...] = field(default=TWO_LABEL_SUFFIXES)
+    second_level: tuple[str, ...] = SECOND_LEVEL
+    countries: tuple[str, ...] = COUNTRIES
 
 
 def host_of(url: Column) -> Column:
@@ -59,13 +64,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column, two_label: tuple[str, ...]) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*two_label), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user, port and trailing dot, as the levels above it see it."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
 
 
-def domain_of(host: Column, two_label: tuple[str, ...]) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*two_label), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def levels(host: Column, settings: Reputation) -> dict[str, Column]:
+    """Registered domain and public suffix; an address (digits and dots, or in brackets) is its own domain under no suffix."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    long_ = F.substring_index(two, ".", 1).isin(*settings.second_level) & F.substring_index(name, ".", -1).isin(*settings.countries)
+    address = name.rlike(r"^[0-9.]+$|^\[")
+    return {
+        "domain": F.when(address, name).when(long_, F.substring_index(name, ".", -3)).otherwise(two),
+        "suffix": F.when(address, F.lit("")).when(long_, two).otherwise(F.substring_index(name, ".", -1)),
+    }
 
 
 def strength(groups: DataFrame, lowest: float, highest: float) -> float:
@@ -92,8 +105,10 @@ def judged(pages: DataFrame, labels: DataFrame, settings: Reputation) -> DataFra
     hosts = (
         split.select("page_id", "host").join(outcome, "page_id", "left").groupBy("host")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumns({"domain": domain_of(F.col("host"), settings.two_label_suffixes), "suffix": suffix_of(F.col("host"), settings.two_label_suffixes)})
+        .withColumns(levels(F.col("host"), settings))
     )
+    # One row a host, written once: the levels above, the priors and the verdicts are all made of it.
+    hosts = written(hosts, shared_dir(pages.sparkSession), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     k_host, k_domain, k_suffix = (strength(x, settings.weakest, settings.strongest) for x in (hosts, domains, suffixes))
@@ -130,12 +145,13 @@ def page_labels(labels: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from corvine.llm.common import table
-
     return judged(table(spark, sf_dir, "pages"), page_labels(table(spark, sf_dir, "labels")), PRODUCTION)
 
 
-_TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+def _listed(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{x}'" for x in names)
+
+
 _LEVEL = """
     SELECT CASE WHEN k < 2 OR bad <= 0 OR bad >= n OR n * n <= squares OR rho IS NULL OR rho <= 0 THEN 1000.0
                 ELSE least(1000.0, greatest(2.0, 1 / rho - 1)) END AS k
@@ -157,14 +173,12 @@ outcome AS (
 counted AS (
   SELECT host, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(bad), 0)::BIGINT AS bad
   FROM split LEFT JOIN outcome USING (page_id) GROUP BY 1),
+named AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS name FROM counted),
+cut AS (SELECT *, string_split(name, '.') AS s, regexp_matches(name, '^[0-9.]+$|^\\[') AS address FROM named),
 hosts AS (
-  SELECT *, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_TWO})
-                 THEN array_to_string(string_split(host, '.')[-3:], '.')
-                 ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
-            CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_TWO})
-                 THEN array_to_string(string_split(host, '.')[-2:], '.')
-                 ELSE string_split(host, '.')[-1] END AS suffix
-  FROM counted),
+  SELECT host, n, bad, CASE WHEN address THEN name WHEN long_ THEN array_to_string(s[-3:], '.') ELSE array_to_string(s[-2:], '.') END AS domain,
+         CASE WHEN address THEN '' WHEN long_ THEN array_to_string(s[-2:], '.') ELSE s[-1] END AS suffix
+  FROM (SELECT *, s[-2:][1] IN ({_listed(SECOND_LEVEL)}) AND s[-1] IN ({_listed(COUNTRIES)}) AS long_ FROM cut)),
 domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY 1),
 kh AS ({_LEVEL.format("hosts")}), kd AS ({_LEVEL.format("domains")}), ks AS ({_LEVEL.format("suffixes")}),
