@@ -29,7 +29,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.learn(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return language_id.predicted(docs, model).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    # Under other names, so that columns of the documents named like the results stay theirs.
+    renamed = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    kept = language_id.predicted(renamed, model).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
