@@ -20,4 +20,5 @@ ORACLE_SQL = {
     "op2_near_dup": near_dup.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op5_quality_rules": quality_rules.SQL,
+    "op10_repeats": repeats.SQL,
 }

@@ -470,3 +470,19 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, hot: int = HOT) ->
 def query(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicated(documents).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(h[2 * i + 1:2 * i + 400]) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+mark AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS begins FROM hit),
+span AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(begins) OVER (PARTITION BY r ORDER BY i) AS g FROM mark) GROUP BY r, g),
+piece AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS s, a AS e FROM span
+  UNION ALL SELECT r, max(b), 1000000000 FROM span GROUP BY r),
+kept AS (SELECT r, string_agg(h[2 * s + 1:2 * e], '' ORDER BY s) AS left_ FROM piece JOIN d USING (r) GROUP BY r),
+spans AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_, h))) AS kept_sha256
+FROM d LEFT JOIN spans USING (r) LEFT JOIN kept USING (r)
+"""

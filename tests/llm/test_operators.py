@@ -60,6 +60,12 @@ def test_rules_and_reputation(spark):
     assert got[2] == ("example.com", "/de", None, "allow") and got[3] == ("example.com", "/de/", "example.com/de/", "block")
     assert got[4] == ("x.org", "/fr/a", "org/fr/", "allow") and got[5] == got[6] == ("", "", None, "allow")
     assert got[7] == ("bad.org", "/1", None, "block") and got[8] == ("net", "", None, "allow") and got[9] == ("c.org:80", "", None, "allow")
+    # Null and repeated rows, and no labels at all.
+    again = url_reputation.judged(pages.union(pages), labels.limit(0), url_reputation.PRODUCTION).collect()
+    assert len(again) == 20 and {r["verdict"] for r in again if r["rule"] is None} == {"allow"} and all(r["host_labelled"] == 0 for r in again)
+    hosts = ["u:p@a.b.co.uk:8080", "a.b.co.uk.", "10.0.0.1:80", "[::1]:80", "x.com", "com", "a.de", ""]
+    cut = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *[c.alias(n) for n, c in url_reputation.levels(F.col("host"), url_reputation.PRODUCTION).items()]).collect()
+    assert [(r["domain"], r["suffix"]) for r in cut] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("10.0.0.1", ""), ("[::1]", ""), ("x.com", "com"), ("com", "com"), ("a.de", "de"), ("", "")]
     assert url_reputation.judged(pages.limit(0), labels.limit(0), url_reputation.PRODUCTION).count() == 0
 
 
@@ -193,6 +199,16 @@ def test_mixing_against_a_plain_schedule(spark):
         mixing.mixed(frame, {"a": 1})
 
 
+def test_mixing_ranks_by_groups_of_bins(spark, monkeypatch):
+    """Positions do not depend on how the running sums are cut; null ids spread by text."""
+    rows = [(i if i % 7 else None, f"s{i % 3}" if i % 5 else None, f"text {i}") for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    monkeypatch.setattr(mixing, "BIN_ROWS", 3)
+    whole = sorted(map(tuple, mixing.mixed(frame, block=4).select("text", "position").collect()))
+    monkeypatch.setattr(mixing, "GROUPED", 5)
+    assert whole == sorted(map(tuple, mixing.mixed(frame, block=4).select("text", "position").collect())) and len({p for _, p in whole}) == 900
+
+
 def mixing_deviation(blocks, weights):
     """The most that a source is off its exact target at any slot, phase by phase, in blocks; and the number of blocks."""
     plan, starts = mixing.schedule(blocks, weights)
@@ -475,6 +491,15 @@ def test_secrets(spark, odd, plain):
     for r in got:
         spans = [tuple(s) for s in r["secret_spans"]]
         assert [s for s in spans if s[1] < 3] == secrets_of(r["text"]) and spans == sorted(spans)
+    def likely(t):
+        base = secrets_of(t)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t or ""):
+            ratio = sum(model[(ord(a) - 32) * 96 + ord(b) - 32] for a, b in zip(m[0], m[0][1:]))
+            if ratio >= secret_scan.THRESHOLD and not any(a < m.end() and b > m.start() for a, _, b in base):
+                yield (m.start(), 3, m.end())
+
+    for r in got:
+        assert [tuple(s) for s in r["secret_spans"] if s[1] == 3] == list(likely(r["text"]))
     by = {r["doc_id"]: r for r in got}
     assert [tuple(s) for s in by[20_006]["secret_spans"]] == [(4, 3, 24)] and by[20_007]["secret_spans"] == []
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(frame, model).collect()}
@@ -482,6 +507,24 @@ def test_secrets(spark, odd, plain):
     assert secret_scan.report(frame.limit(0), model).count() == 0
 
 
+def test_markov_counts_and_ratios_against_plain_ones(spark):
+    rows = [("abca", 0), ("abab", 1), ("a", 1), ("é!x~", 0), ("", 1), ("aé", 0)]
+    want = {0: collections.Counter(), 1: collections.Counter()}
+    for t, label in rows:
+        want[label].update((ord(a) - 32, ord(b) - 32) for a, b in zip(t, t[1:]) if " " <= a <= "~" and " " <= b <= "~")
+    got = secret_scan.counts_of(spark.createDataFrame(rows, "token string, label int"))
+    assert got == {k: dict(v) for k, v in want.items()}
+    table = secret_scan.ratios(got)
+
+    def log(label, a, b):
+        pairs = want[label]
+        rate = (sum(n for (_, y), n in pairs.items() if y == b) + 0.5) / (sum(pairs.values()) + 48)
+        return math.log((pairs[a, b] + 8 * rate) / (sum(n for (x, _), n in pairs.items() if x == a) + 8))
+
+    for a, b in ((65, 66), (66, 65), (0, 95), (66, 67)):
+        assert table[96 * a + b] == pytest.approx(log(1, a, b) - log(0, a, b))
+
+
 def test_long_tokens_and_many_spans_take_linear_time(spark):
     rng = random.Random(3)
     token = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(1 << 20))
