@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,4 +28,14 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``shared_root``."""
-    return f"{shared_root(spark)}/corvine-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/corvine-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_made(spark: SparkSession) -> int:
+    """Delete the folders that ``shared_dir`` gave to this process, once no result that reads them is needed. Returns their number."""
+    count = len(_made)
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
