@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import decontaminate, language_id, mixing, near_dup, secret_scan
-from corvine.llm.common import shared_dir, table, written
+from corvine.llm.common import dropped, shared_dir, table, written
 
 
 #: Below it the other languages together are likelier than the predicted one.
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), shared_dir(spark)
+    docs, folder, before = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), folder, name)
+        if before:
+            dropped(spark, folder, before)
+        before = name
     return docs
