@@ -10,11 +10,15 @@ A document's set is its distinct word shingles. Documents with equal sets are on
    and each class goes to the child named by its token at each. Nodes with one class end.
    A child that kept most of its parent is *dense*: branching would not take it apart, so
    it is treated as small.
-3. Small nodes are compared exhaustively by their minwise tokens, those with more than
-   ``LEAF`` classes in pairs of blocks. Classes with enough equal
-   tokens form clusters; a cluster found in several leaves is taken once.
+3. Small nodes of up to ``LEAF`` classes are compared exhaustively by their minwise tokens.
+   Classes with enough equal tokens form clusters; a cluster found in several leaves is taken once.
 4. Within clusters every pair is decided on the full sets, and links that join two
    parts are kept. Connected components of these links give the result.
+5. Larger nodes go by blocks: first each block within itself, then one class of each
+   component of each block with those of the node's other blocks. What is in the node's largest
+   component by then needs no more; all others are compared with the whole node, block by block.
+   So a node whose classes are copies of one page costs in proportion to its size, and no link
+   between different components is missed.
 
 A pair at similarity 0.75 shares a root's token with chance 0.75 and stays together over
 a branching with 1 - 0.25**2; over 16 roots and six levels, 6e-6 of such pairs are missed,
@@ -283,6 +287,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     are random, so the number of rounds grows with the logarithm of a component's size.
     """
     spark, labels, round_ = links.sparkSession, None, 0
+    links = links.select("a", "b")
     while not links.isEmpty():
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("up")), folder, f"up{round_}")
@@ -303,10 +308,10 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "digest binary, label binary")
 
 
-def leaves_of(classes: DataFrame, folder: str) -> DataFrame:
-    """(node, digest, n, tokens) of all nodes to compare exhaustively."""
-    spark = classes.sparkSession
+def leaves_of(classes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(node, digest, n, tokens) of all nodes to compare exhaustively, and the same with ``size`` of those to compare by blocks."""
     parts: list[DataFrame] = []
+    large: list[DataFrame] = []
     rows = classes.select("digest", F.explode("roots").alias("node"), F.lit(None).cast("long").alias("above"))
     tokens = classes.select("digest", "n", "tokens")
     coordinates = COORDINATES - TREES * ROOTS
@@ -318,21 +323,55 @@ def leaves_of(classes: DataFrame, folder: str) -> DataFrame:
         whole = (F.col("size") <= SMALL) | (F.col("size") > DENSE * F.coalesce("above", F.col("size") * 2)) | F.lit(depth == DEEPEST)
         live = written(live.select("node", "digest", "n", "tokens", "size", whole.alias("whole")), folder, f"level{depth}")
         parts.append(live.filter(f"size <= {LEAF}").select("node", "digest", "n", "tokens"))
-        # Pairs of blocks: every class of the node meets every other one in some pair.
-        blocks = F.ceil(F.col("size") / BLOCK)
-        own = F.pmod(F.xxhash64("digest", F.lit(depth)), blocks)
-        parts.append(
-            live.filter(f"size > {LEAF} AND whole").withColumn("blocks", blocks).withColumn("own", own)
-            .select(F.explode(F.expr("transform(sequence(0, blocks - 1), o -> xxhash64(node, least(own, o), greatest(own, o), 'pair'))")).alias("node"), "digest", "n", "tokens")
-        )
-        large = live.filter("NOT whole")
-        if large.isEmpty():
+        large.append(live.filter(f"size > {LEAF} AND whole").select("node", "digest", "n", "tokens", "size"))
+        branching = live.filter("NOT whole")
+        if branching.isEmpty():
             break
         first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(coordinates))
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit("second")), F.lit(coordinates - 1)), F.lit(coordinates))
         child = [F.xxhash64("node", j, F.expr(f"substring(tokens, CAST(2 * ({j} + {TREES * ROOTS}) + 1 AS INT), 2)")) for j in ("j1", "j2")]
-        rows = large.withColumns({"j1": first, "j2": second}).select(F.explode(F.array(*child)).alias("node"), "digest", "n", "tokens", F.col("size").alias("above"))
-    return reduce(DataFrame.union, parts)
+        rows = branching.withColumns({"j1": first, "j2": second}).select(F.explode(F.array(*child)).alias("node"), "digest", "n", "tokens", F.col("size").alias("above"))
+    return reduce(DataFrame.union, parts), reduce(DataFrame.union, large)
+
+
+def in_blocks(rows: DataFrame, size: str, salt: str) -> DataFrame:
+    """Leaves in which every row of a node with ``size`` rows meets every other one: pairs of blocks, or the node itself if it is small."""
+    blocks = F.when(F.col(size) <= LEAF, F.lit(1)).otherwise(F.ceil(F.col(size) / BLOCK))
+    pairs = "transform(sequence(0, blocks - 1), o -> xxhash64(node, least(own, o), greatest(own, o), 'pair'))"
+    with_own = rows.withColumn("blocks", blocks.cast("long")).withColumn("own", F.pmod(F.xxhash64("digest", F.lit(salt)), F.col("blocks")))
+    return with_own.select(F.explode(F.expr(pairs)).alias("node"), "digest", "n", "tokens")
+
+
+def links_of_large(large: DataFrame, links: DataFrame, find, folder: str) -> DataFrame:
+    """Links between different components, for nodes that are compared by blocks; ``links`` are those known so far.
+
+    ``find(leaves, name)`` writes the links within some leaves.
+    """
+    block = F.pmod(F.xxhash64("digest", F.lit("block")), F.ceil(F.col("size") / BLOCK))
+    large = written(large.withColumn("block", block), folder, "large")
+    within = find(large.select(F.xxhash64("node", "block", F.lit("within")).alias("node"), "digest", "n", "tokens"), "within")
+    known = links.select("a", "b").union(within)
+
+    def labelled(name: str) -> DataFrame:
+        labels = components(known, f"{folder}/{name}").select(F.col("digest").alias("__digest"), "label")
+        return large.join(labels, large["digest"] == labels["__digest"], "left").drop("__digest").withColumn("label", F.coalesce("label", "digest"))
+
+    # One class for each component of each block.
+    chosen = labelled("first").groupBy("node", "block", "label").agg(F.min(F.struct("digest", "n", "tokens")).alias("one")).select("node", "one.*")
+    several = chosen.groupBy("node").agg(F.count("*").alias("chosen")).filter("chosen > 1")
+    across = find(in_blocks(chosen.join(several, "node"), "chosen", "across"), "across")
+    known = known.union(across)
+    # What is not in its node's largest component meets all of the node.
+    held = written(labelled("second"), folder, "held")
+    counts = held.groupBy("node", "label").agg(F.count("*").alias("of_label"))
+    main = counts.groupBy("node").agg(F.max_by("label", F.struct("of_label", "label")).alias("main"), (F.sum("of_label") - F.max("of_label")).alias("others")).filter("others > 0")
+    rest = held.join(main, "node")
+    others = F.ceil(F.col("others") / BLOCK)
+    part = F.pmod(F.xxhash64("digest", F.lit("others")), others)
+    leaf = "xxhash64(node, {0}, {1}, 'rest')"
+    mine = rest.filter("label <> main").withColumn("part", part).withColumn("blocks", F.ceil(F.col("size") / BLOCK)).select(F.explode(F.expr(f"transform(sequence(0, blocks - 1), o -> {leaf.format('part', 'o')})")).alias("node"), "digest", "n", "tokens")
+    all_ = rest.withColumn("parts", others).select(F.explode(F.expr(f"transform(sequence(0, parts - 1), o -> {leaf.format('o', 'block')})")).alias("node"), "digest", "n", "tokens")
+    return within.union(across).union(find(mine.union(all_).distinct(), "rest"))
 
 
 def classified(documents: DataFrame) -> DataFrame:
@@ -344,9 +383,16 @@ def classified(documents: DataFrame) -> DataFrame:
         signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_key")).alias("place"), *[F.first(c).alias(c) for c in ("n", "roots", "tokens")]),
         folder, "classes",
     )
-    found = written(clusters(leaves_of(classes, folder)), folder, "clusters")
+
+    def find(leaves: DataFrame, name: str) -> DataFrame:
+        found = written(clusters(leaves), folder, f"clusters-{name}")
+        return written(verified(found, classes, documents), folder, f"links-{name}")
+
+    leaves, large = leaves_of(classes, folder)
+    links = find(leaves, "leaves")
+    if not large.isEmpty():
+        links = links.union(links_of_large(large, links, find, folder))
     dropped(spark, folder, *[f"level{i}" for i in range(DEEPEST + 1)])
-    links = written(verified(found, classes, documents), folder, "links0")
     labels = components(links, folder)
     least = labels.join(classes.select("digest", "rep"), "digest").groupBy("label").agg(F.min("rep").alias("least"))
     linked = labels.join(least, "label").select("digest", "least")
