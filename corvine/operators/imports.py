@@ -348,8 +348,14 @@ def resolution_cache(dependencies: DataFrame, files: DataFrame) -> DataFrame:
 
     As ``by_variants``, but the variants are made in Spark, for any number of paths.
     """
-    made = F.udf(path_variants, "array<string>")
-    wanted = dependencies.select("imported_path").distinct().select("imported_path", F.posexplode(made("imported_path")).alias("place", "path"))
+
+    def variants(batches):
+        for batch in batches:
+            found = [(name, i, v) for name in batch.column("imported_path").to_pylist() if name for i, v in enumerate(path_variants(name))]
+            columns = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()))], ["imported_path", "place", "path"])
+
+    wanted = dependencies.select("imported_path").distinct().mapInArrow(variants, "imported_path string, place int, path string")
     return wanted.join(files.select("path", "file_id"), "path").groupBy("imported_path").agg(F.min_by("file_id", "place").alias("file_id"))
 
 

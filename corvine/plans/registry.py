@@ -15,7 +15,7 @@ from corvine.operators import comments, graph, imports, profile, questions, resu
 from corvine.plans import samples
 from corvine.plans.search import Query, rows, syntax
 from corvine.sources.corpus import content_hash, from_documents, line_array, lines
-from corvine.sources.shared import shared_dir
+from corvine.sources.shared import exists, shared_dir
 from corvine.streaming.watch import quiet_gaps, quiet_gaps_by_window
 
 QUERIES: dict = {}
@@ -125,7 +125,7 @@ _indexes: dict[tuple[str, str], str] = {}
 def stored_postings(spark, sf_dir) -> DataFrame:
     """The trigram index of the documents, built where it is missing: once a session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
+    if key not in _indexes or not exists(spark, f"{_indexes[key]}/_SUCCESS"):
         path = f"{shared_dir(spark)}/postings"
         trigram.write_postings(lines(corpus(spark, sf_dir)), path)
         _indexes[key] = path

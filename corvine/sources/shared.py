@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[-1]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def remove_made(spark: SparkSession) -> int:
     """Delete the folders that ``shared_dir`` gave to this process, once no result that reads them is needed. Returns their number."""
     count = len(_made)

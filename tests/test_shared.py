@@ -30,3 +30,13 @@ def test_made_folders_are_removed(spark, monkeypatch):
     assert shared.remove_made(spark) == 1 and shared.remove_made(spark) == 0
     with pytest.raises(Exception):
         spark.read.parquet(f"{folder}/t")
+
+
+def test_a_missing_index_is_built_again(spark):
+    from corvine.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    n = registry.trigram_search(spark, sf).count()
+    built = dict(registry._indexes)
+    shared.remove_made(spark)
+    assert registry.trigram_search(spark, sf).count() == n and registry._indexes != built
