@@ -139,37 +139,48 @@ def _scan(df: DataFrame, table_: Windows) -> DataFrame:
 def found(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, chunk: int = CHUNK) -> DataFrame:
     """doc_id and text with FOUND. ``benchmark`` has (item_id, text)."""
     base = documents.select("doc_id", "text")
-    passes = [_scan(base, table_) for table_ in broadcasts(benchmark, size, chunk)]
-    if len(passes) == 1:
-        return passes[0]
-    return _united(passes)
+    tables = broadcasts(benchmark, size, chunk)
+    known, more = next(tables), next(tables, None)
+    if more is None:
+        return _scan(base, known)
+    judged = _with_hits(base, chain([known, more], tables))
 
+    def unite(batches):
+        for batch in batches:
+            counts, spans = [], []
+            found_spans = batch.column(3).to_pylist()
+            for first, part in text_slices(batch.column(1)):
+                words = Words(part, PUNCT)
+                for i in range(len(part)):
+                    a, b, at = int(words.first[i]), int(words.first[i + 1]), words.text_starts[i]
+                    starts, ends = words.starts[a:b] - at, words.ends[a:b] - at
+                    flags = flagged(starts, ends, found_spans[first + i] or [])
+                    counts.append((b - a, int(flags.sum())))
+                    spans.append([{"start": int(starts[x]), "end": int(ends[y - 1])} for x, y in runs(flags)])
+            items = pa.array([x or [] for x in batch.column(2).to_pylist()], pa.list_(pa.string()))
+            columns = [pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, items, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "text", "n_words", "n_hit", "item_ids", "spans"])
 
-def _united(passes: list[DataFrame]) -> DataFrame:
-    """Spans of several passes over the same documents, united per document.
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    return judged.mapInArrow(unite, f"{own}, {FOUND}")
 
-    Rows that share doc_id and text are one group, repeated again afterwards.
-    """
-    every = reduce(DataFrame.unionByName, (p.withColumn("pass", F.lit(i)) for i, p in enumerate(passes)))
 
-    def unite(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                words = Words([(row["text"] or "").encode()], PUNCT)
-                flags = flagged(words.starts, words.ends, row["spans"])
-                row["n_hit"] = int(flags.sum())
-                row["spans"] = [{"start": int(words.starts[a]), "end": int(words.ends[b - 1])} for a, b in runs(flags)]
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
-
-    grouped = every.groupBy("doc_id", "text").agg(
-        F.first("n_words").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.sum((F.col("pass") == 0).cast("int")).alias("copies"),
-    )
-    united = grouped.mapInArrow(unite, grouped.schema)
-    return united.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
+def _with_hits(documents: DataFrame, tables: Iterator[Windows]) -> DataFrame:
+    """The documents with __items and __spans, the hits of all passes; null where there are none.
+
+    What is hit depends on the text alone, so each pass writes the hits of the texts that have any, under
+    the text's digest, and these few rows are joined to the documents.
+    """
+    digest = F.sha2(F.col("text"), 256)
+    texts, folder = documents.select("text"), shared_dir(documents.sparkSession)
+    passes: list[DataFrame] = []
+    for known in tables:
+        hits = _scan(texts, known).filter("n_hit > 0").select(digest.alias("__digest"), "item_ids", "spans")
+        passes.append(written(hits, folder, f"hits{len(passes)}"))
+    united = reduce(DataFrame.unionByName, passes).groupBy("__digest").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("__items"), F.array_distinct(F.flatten(F.collect_set("spans"))).alias("__spans")
+    )
+    return documents.join(united, digest == F.col("__digest"), "left").select(*[F.col(f"`{c}`") for c in documents.columns], "__items", "__spans")
 
 
 def report(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, chunk: int = CHUNK) -> DataFrame:
@@ -193,15 +204,7 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, most_hit: float = 0.5, s
     if more is None:
         return documents.mapInArrow(_cleaner(documents.columns, most_hit, known), documents.schema)
 
-    # What is hit depends on the text alone, so hits are carried by its digest.
-    digest = F.sha2(F.col("text"), 256)
-    texts, folder = documents.select("text"), shared_dir(documents.sparkSession)
-    passes: list[DataFrame] = []
-    for known in chain([known, more], tables):
-        hits = _scan(texts, known).filter("n_hit > 0").select(digest.alias("__digest"), "spans")
-        passes.append(written(hits, folder, f"hits{len(passes)}"))
-    united = reduce(DataFrame.unionByName, passes).groupBy("__digest").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("__spans"))
-    judged = documents.join(united, digest == F.col("__digest"), "left").select(*[F.col(f"`{c}`") for c in documents.columns], "__spans")
+    judged = _with_hits(documents, chain([known, more], tables)).drop("__items")
     return judged.mapInArrow(_cleaner(documents.columns, most_hit), documents.schema)
 
 
