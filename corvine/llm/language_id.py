@@ -36,6 +36,8 @@ UNKNOWN = "und"
 REMEMBERED = 100_000
 #: Bytes of words that are scored at once; longer ones go on from run to run of so many.
 BLOCK = 256 << 10
+#: Bytes of words that are learned from at once, on the driver.
+LEARNED = 64 << 10
 #: Steps between divisions of the masses by their size.
 RESCALE = 16
 #: Words longer than this are learned from in runs of about so many bytes (scored they are whole).
@@ -231,19 +233,19 @@ def fit(pieces: list[bytes], counts: dict[str, dict[bytes, int]], documents: dic
     lengths = np.array([len(x) for x in pieces])
     start = np.exp(-1.0 * lengths)
     p = np.repeat((start / start.sum())[:, None], max(1, len(languages)), 1)
-    weights: dict[bytes, np.ndarray] = {}
-    for k, language in enumerate(languages):
-        for word, n in counts[language].items():
-            for part in parts(word):
-                weights.setdefault(part, np.zeros(len(languages)))[k] += n
-    words = list(weights)
-    groups = []
-    for some in by_size(words, BLOCK):
-        lattice = Lattice(table_, [words[i] for i in some])
-        groups.append((lattice, np.array([weights[words[some[i]]] for i in lattice.order.tolist()])))
+    place: dict[bytes, int] = {}
+    told = [(k, place.setdefault(part, len(place)), n) for k, language in enumerate(languages) for word, n in counts[language].items() for part in parts(word)]
+    words, weights = list(place), np.zeros((len(place), len(languages)))
+    for k, i, n in told:
+        weights[i, k] += n
+    del place, told
+    groups = list(by_size(words, LEARNED))
     for _ in range(rounds if words else 0):
         expected = np.full(p.shape, smoothing)
-        for lattice, weight in groups:
+        for some in groups:
+            # Made anew in each round: the pieces of all words at once would fill the driver's memory.
+            lattice = Lattice(table_, [words[i] for i in some])
+            weight = weights[np.array(some)[lattice.order]]
             alpha, _ = lattice.forward(p, scaled=False)
             beta = np.zeros_like(alpha)
             last = lattice.first + lattice.sizes
@@ -279,8 +281,9 @@ def learn(labelled: DataFrame, per_language: int = 400, path: str = VOCABULARY)
 
     counted = sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[bytes, int]] = {x: {} for x in sizes}
-    for lang, word, n in counted.toPandas().itertuples(index=False):
-        counts[lang][b" " + bytes(word)] = int(n)
+    for batch in counted.toArrow().to_batches(max_chunksize=10_000):
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            counts[lang][b" " + word] = n
     return fit(vocabulary(path), counts, sizes)
 
 
