@@ -497,7 +497,7 @@ def symbols_python(spark, sf_dir):
 
 @registered(f"WITH f AS ({_CODE}) SELECT path, 'Method' AS kind, 'run' AS symbol, 8 AS start_line FROM f WHERE path LIKE 'src1/%'")
 def search_symbols(spark, sf_dir):
-    return rows(python_files(spark, sf_dir), Query("run", symbols=True, kind="function", language="py", include=("src1/*",))).select("path", "kind", "symbol", "start_line")
+    return rows(python_files(spark, sf_dir), Query("run", symbols=True, kind="function", language="py", include=("src1/*",), force=True)).select("path", "kind", "symbol", "start_line")
 
 
 @registered(f"WITH f AS ({_CODE}) SELECT path, 'Class' AS kind, 'C' || doc_id AS symbol FROM f")

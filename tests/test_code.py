@@ -246,6 +246,18 @@ def test_guards_count_candidates(files, monkeypatch):
         planner.syntax(f, pattern, Query("func"))
 
 
+def test_registered_symbol_search_takes_any_number_of_files(spark, monkeypatch):
+    """The guards are for callers who may narrow a query; this one is asked for every row at any size."""
+    import __spark_entry__
+    from compare import differences
+    from corvine.plans import search as planner
+
+    monkeypatch.setattr(planner, "MANY_FILES", 5)
+    monkeypatch.setitem(planner.MOST, "symbols", 5)
+    made = __spark_entry__.queries()["search_symbols"](spark, __spark_entry__.SMOKE)
+    assert made.count() > 5 and differences(made, __spark_entry__.SMOKE, __spark_entry__.oracle_sql()["search_symbols"]) == ""
+
+
 def test_a_query_may_run_out_of_time(spark, files):
     slow = files({"a.py": "x = 1\n"}).withColumn("content", F.udf(lambda t: (time.sleep(20), t)[1], "string")("content"))
     began = time.perf_counter()
