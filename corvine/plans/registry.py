@@ -129,7 +129,7 @@ def stored_postings(spark, sf_dir) -> DataFrame:
         path = f"{shared_dir(spark)}/postings"
         trigram.write_postings(lines(corpus(spark, sf_dir)), path)
         _indexes[key] = path
-    return spark.read.schema(trigram.POSTING).parquet(_indexes[key])
+    return spark.read.schema(trigram.STORED).parquet(_indexes[key])
 
 
 @registered(f"""WITH {_LINES}, hexed AS (SELECT file_id, line_no, hex(encode(line)) AS h FROM lines WHERE strlen(line) >= 3),

@@ -26,7 +26,7 @@ from corvine.operators import imports, symbols, trigram
 from corvine.operators.profile import line_counts
 from corvine.sources.corpus import content_hash, indexable, lines
 
-VERSION = 2
+VERSION = 3
 TABLES = ("files", "postings", "symbols", "dependencies", "exports")
 
 
@@ -89,7 +89,8 @@ class Index:
             raise ValueError(f"no index of {branch or 'any branch'} at {self.root}")
         if name == "postings":
             self.ensure_postings(branch)
-        return self.spark.read.parquet(f"{self.root}/{manifest['snapshot']}/{name}")
+        found = self.spark.read.parquet(f"{self.root}/{manifest['snapshot']}/{name}")
+        return trigram.flat(found) if name == "postings" else found
 
     def ensure_postings(self, branch: str | None = None) -> bool:
         """Build the postings anew from the stored contents where they are missing. Returns whether they were."""
@@ -123,18 +124,19 @@ class Index:
             "symbols": (symbols.symbols(fresh).join(fresh.select("path", "file_hash"), "path"), fresh, ["path", "file_hash"]),
             "dependencies": (imports.imports(reread, project), reread, ["file_id", "path"]),
             "exports": (imports.exports(reread, project), reread, ["file_id", "path"]),
-            "postings": (trigram.postings(lines(fresh)), fresh, ["file_id"]),
+            "postings": (trigram.stored(lines(fresh)), fresh, ["file_id"]),
         }
         for name, (rows, parsed, by) in made.items():
             if old:
                 still = stored.select(*by).join(parsed.select(*by), by, "left_anti")
                 kept = self.table(name, base).join(still, by, "left_semi")
-                rows = rows.unionByName(kept.select(*rows.columns))
+                rows = rows.unionByName(trigram.listed(kept) if name == "postings" else kept.select(*rows.columns))
             if name in ("dependencies", "exports"):
                 rows = imports.resolved(rows, stored, "resolved_file_id" if name == "dependencies" else "resolved_source_id", keep=True)
             if name == "postings":
-                rows = rows.sortWithinPartitions("trigram", "file_id", "line_no")
-            rows.write.parquet(f"{folder}/{name}")
+                trigram.write(rows, f"{folder}/{name}")
+            else:
+                rows.write.parquet(f"{folder}/{name}")
         row = stored.agg(F.count("*").alias("files"), F.sum("line_count").alias("lines")).first()
         return self._publish(branch, {"snapshot": snapshot, "branch": branch, "commit": commit, "indexed_at": time.time(), "project": told, "files": row["files"], "lines": row["lines"] or 0})
 
@@ -189,7 +191,7 @@ class Index:
         if manifest is None:
             return ["no manifest"]
         found = [] if state.get("version") == VERSION else [f"version {state.get('version')}, not {VERSION}"]
-        needed = {"files": "file_id path language content file_hash", "postings": "trigram file_id line_no", "symbols": "path kind symbol file_hash", "dependencies": "file_id imported_path resolved_file_id", "exports": "file_id source_path"}
+        needed = {"files": "file_id path language content file_hash", "postings": "trigram file_ids line_nos", "symbols": "path kind symbol file_hash", "dependencies": "file_id imported_path resolved_file_id", "exports": "file_id source_path"}
         for name in TABLES:
             path, fs = self._path(f"{manifest['snapshot']}/{name}/_SUCCESS")
             if not fs.exists(path):

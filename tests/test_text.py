@@ -1,6 +1,8 @@
 import re
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,6 +129,46 @@ def test_index_and_scan_agree(files, spark, tmp_path):
     assert {r[0] for r in trigram.candidate_files(index, [["hello"], ["helo"]]).collect()} == {r[0] for r in every.select("file_id").collect()}
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("ab你é "), max_size=12)), max_size=12), st.integers(1, 5), st.sampled_from([1, 40, 100, 8 << 20]))
+def test_blocks_keep_every_posting(lines, cut, block):
+    """Over any cut into batches and blocks: each line's trigrams once, and trigrams in order within a block."""
+    made = [pa.RecordBatch.from_pydict({"file_id": pa.array(range(i, i + len(part)), pa.int64()), "line_no": pa.array([7] * len(part), pa.int32()), "line": pa.array(part, pa.string())}) for i in range(0, len(lines), cut) if (part := lines[i : i + cut])]
+    most, trigram.BLOCK = trigram.BLOCK, block
+    try:
+        blocks = [[x.to_pylist() for x in (pa.array(a), b, c)] for a, b, c in trigram._postings(made)]
+    finally:
+        trigram.BLOCK = most
+    assert all(a == sorted(a) for a, _, _ in blocks)
+    assert sorted((f, t) for a, b, _ in blocks for t, f in zip(a, b)) == [(i, t) for i, x in enumerate(lines) for t in trigram.packed(x or "")]
+    stored = [r for a, b, c in blocks for r in trigram._listed(np.array(a, np.int32), pa.array(b), pa.array(c)).to_pylist()]
+    assert [(r["trigram"], f, n) for r in stored for f, n in zip(r["file_ids"], r["line_nos"], strict=True)] == [x for a, b, c in blocks for x in zip(a, b, c)]
+
+
+def test_the_index_is_stored_without_a_sort(spark, files, tmp_path):
+    """A row for each trigram of a block instead of one for each posting, which Spark had to sort and spill."""
+    every = corpus.lines(files({f"a{i}.rs": f"fn hello() {i}\nhello again\n" for i in range(50)}))
+    assert not re.search("Sort|Exchange", trigram.stored(every)._jdf.queryExecution().executedPlan().toString())
+    trigram.write_postings(every, str(tmp_path / "p"))
+    index = spark.read.parquet(str(tmp_path / "p"))
+    want = trigram.postings(every)
+    assert index.count() * 5 < want.count() and rows(trigram.flat(index)) == rows(want)
+    assert trigram.index_summary(index).collect() == trigram.index_summary(want).collect()
+    assert rows(trigram.flat(trigram.listed(want))) == rows(want)
+
+
+def test_lookups_filter_the_stored_rows(spark, files, tmp_path):
+    """The trigrams are looked up in the scan, before lists are unpacked; an index of single postings gives the same."""
+    every = corpus.lines(files({"a.rs": "ration thing\nstation\n\nnation thus", "b.rs": "question thing\n"}))
+    trigram.write_postings(every, str(tmp_path / "p"))
+    index, pattern = spark.read.parquet(str(tmp_path / "p")), "(estion|ation) th[a-z]+"
+    found = trigram.regex_candidates(every, index, pattern)
+    assert rows(found) == rows(trigram.regex_candidates(every, trigram.postings(every), pattern))
+    assert found.filter(patterns.regex_match(F.col("line"), pattern)).count() == 3
+    plan = trigram.candidates(index, "ation")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*In\(trigram", plan)
+
+
 @pytest.mark.parametrize("language, line, pattern, code", [
     ("Rust", 'let u = "http://foo"; foo()', "foo", False), ("Rust", "foo(); // foo", "foo", True), ("Rust", "// foo", "foo", False), ("Rust", 'r#"foo"#', "foo", False),
     ("Rust", "/* foo */ bar", "bar", True), ("Python", "x = 1  # foo", "foo", False), ("Python", "'''foo''' + foo", "foo", True), ("JavaScript", "`foo`", "foo", False),
