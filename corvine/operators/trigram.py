@@ -199,4 +199,5 @@ def regex_candidates(lines: DataFrame, index: DataFrame, pattern: str) -> DataFr
 
 def index_summary(index: DataFrame) -> DataFrame:
     """(trigrams, postings): distinct trigrams and all entries of an index."""
-    return flat(index).groupBy("trigram").agg(F.count("*").alias("n")).agg(F.count("*").alias("trigrams"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
+    size = F.size("line_nos") if "line_nos" in index.columns else F.lit(1)
+    return index.groupBy("trigram").agg(F.sum(size).alias("n")).agg(F.count("*").alias("trigrams"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))

@@ -169,6 +169,17 @@ def test_lookups_filter_the_stored_rows(spark, files, tmp_path):
     assert re.search(r"PushedFilters: \[[^\]]*In\(trigram", plan)
 
 
+def test_an_index_is_counted_by_its_lists(spark, files, tmp_path):
+    """Entries are counted without a row for each, in stored and in single postings, and in none."""
+    every = corpus.lines(files({"a.rs": "abcab\nabc\n", "b.rs": "xabc\n", "c.rs": "é", "d.rs": "ab"}))
+    trigram.write_postings(every, str(tmp_path / "p"))
+    index = spark.read.parquet(str(tmp_path / "p"))
+    made = trigram.index_summary(index)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    assert tuple(made.first()) == tuple(trigram.index_summary(trigram.postings(every)).first()) == (4, 6)
+    assert tuple(trigram.index_summary(index.limit(0)).first()) == (0, 0)
+
+
 @pytest.mark.parametrize("language, line, pattern, code", [
     ("Rust", 'let u = "http://foo"; foo()', "foo", False), ("Rust", "foo(); // foo", "foo", True), ("Rust", "// foo", "foo", False), ("Rust", 'r#"foo"#', "foo", False),
     ("Rust", "/* foo */ bar", "bar", True), ("Python", "x = 1  # foo", "foo", False), ("Python", "'''foo''' + foo", "foo", True), ("JavaScript", "`foo`", "foo", False),
